@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_collapse, quality_rules
+from . import byte_bpe, chat_collapse, quality_rules, secret_scan, simhash_mih
 
 
 def queries() -> dict:
     return {
         "op5_chat_collapse": chat_collapse.op5_chat_collapse,
         "op7_quality_ledger": quality_rules.op7_quality_ledger,
+        "op8_segment_tree_bpe": byte_bpe.op8_segment_tree_bpe,
+        "op9_secret_spans": secret_scan.op9_secret_spans,
+        "op10_simhash_groups": simhash_mih.op10_simhash_groups,
     }
 
 
