@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_collapse, quality_rules, secret_scan, simhash_mih
+from . import best_fit, byte_bpe, chat_collapse, media_archive, quality_rules, secret_scan, simhash_mih, token_orc
 
 
 def queries() -> dict:
     return {
+        "op2_media_archive": media_archive.op2_media_archive,
+        "op3_token_orc": token_orc.op3_token_orc,
         "op5_chat_collapse": chat_collapse.op5_chat_collapse,
+        "op6_best_fit_packing": best_fit.op6_best_fit_packing,
         "op7_quality_ledger": quality_rules.op7_quality_ledger,
         "op8_segment_tree_bpe": byte_bpe.op8_segment_tree_bpe,
         "op9_secret_spans": secret_scan.op9_secret_spans,
