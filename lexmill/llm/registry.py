@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import best_fit, byte_bpe, chat_collapse, media_archive, quality_rules, secret_scan, simhash_mih, token_orc
+from . import best_fit, byte_bpe, chat_collapse, media_archive, ngram_trie, quality_rules, secret_scan, simhash_mih, token_orc
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_trie": ngram_trie.op1_ngram_trie,
         "op2_media_archive": media_archive.op2_media_archive,
         "op3_token_orc": token_orc.op3_token_orc,
         "op5_chat_collapse": chat_collapse.op5_chat_collapse,
