@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 
@@ -37,22 +38,35 @@ def unpack_sorted(body: bytes) -> np.ndarray:
     return np.cumsum(unpack(body, np.uint64), dtype=np.uint64)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[bytes]]]:
-    """block id, doc_ids and texts as UTF-8 of rows doc_id, text. The ids are unique within one run
-    of the query; they are fixed by writing the blocks before they are used."""
-    part, seq, ids, bodies, size = TaskContext.get().partitionId(), 0, [], [], 0
+def gathered_tables(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
+    """block id and rows of about `limit` bytes; the second column is the text. The ids are unique
+    within one run of the query; they are fixed by writing the blocks before they are used."""
+    part, seq, rows, size = TaskContext.get().partitionId(), 0, [], 0
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            some = b.slice(at, 500)
-            for i, x in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist()):
-                ids.append(i)
-                bodies.append(x)
-                size += len(x) + 8
-                if size >= limit:
-                    yield part << 32 | seq, ids, bodies
-                    seq, ids, bodies, size = seq + 1, [], [], 0
-    if ids:
-        yield part << 32 | seq, ids, bodies
+        at = 0
+        lengths = pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+        reach = np.cumsum(lengths)
+        while at < b.num_rows:
+            before = reach[at - 1] if at else 0
+            end = min(b.num_rows, int(np.searchsorted(reach, before + limit - size)) + 1)
+            rows.append(b.slice(at, end - at))
+            size += int(reach[end - 1] - before)
+            at = end
+            if size >= limit:
+                yield part << 32 | seq, pa.Table.from_batches(rows)
+                seq, rows, size = seq + 1, [], 0
+    if rows:
+        yield part << 32 | seq, pa.Table.from_batches(rows)
+
+
+def utf8(column: pa.ChunkedArray) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[bytes]]]:
+    """block id, doc_ids and texts as UTF-8 of rows doc_id, text."""
+    for block, rows in gathered_tables(batches, limit):
+        yield block, rows.column(0).to_pylist(), utf8(rows.column(1))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, byte_bpe, chat_collapse, media_archive, ngram_trie, quality_rules, secret_scan, simhash_mih, token_orc
+from . import best_fit, byte_bpe, chat_collapse, media_archive, ngram_trie, quality_rules, secret_scan, simhash_mih, suffix_dedup, token_orc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ngram_trie": ngram_trie.op1_ngram_trie,
         "op2_media_archive": media_archive.op2_media_archive,
         "op3_token_orc": token_orc.op3_token_orc,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_chat_collapse": chat_collapse.op5_chat_collapse,
         "op6_best_fit_packing": best_fit.op6_best_fit_packing,
         "op7_quality_ledger": quality_rules.op7_quality_ledger,
