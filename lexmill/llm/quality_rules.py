@@ -94,18 +94,19 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = d.withColumn("repeats", F.when(odd, whole).otherwise(F.col("near")))
     upper = F.length("joined") - F.length(F.regexp_replace("joined", r"\p{Lu}+", ""))
     lower = F.length("joined") - F.length(F.regexp_replace("joined", r"\p{Ll}+", ""))
-    return d.select(
-        "doc_id",
-        "n_words",
-        F.length("joined").cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("repeats") == 0, 0).otherwise(_covered(F.col("repeats"))).cast("long").alias("n_repeat_words"),
-        upper.cast("long").alias("n_upper"),
-        lower.cast("long").alias("n_lower"),
-        F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
-    )
+    measures = {
+        "n_words": F.col("n_words"),
+        "word_chars": F.length("joined"),
+        "n_symbols": F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", "")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.when(F.size("repeats") == 0, 0).otherwise(_covered(F.col("repeats"))),
+        "n_upper": upper,
+        "n_lower": lower,
+        "n_letter_words": F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))),
+    }
+    # a generator of one row: a filter on a measure is not pushed below it, where it would repeat the work
+    return d.select("doc_id", F.inline(F.array(F.struct(*[m.cast("long").alias(c) for c, m in measures.items()]))))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,6 +133,15 @@ def apply_policy(rows: DataFrame, version: str) -> DataFrame:
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES[version])).cast("long")) == 0)
 
 
+def keep(docs: DataFrame, version: str) -> DataFrame:
+    """The rows, with all columns, that the version keeps. Rules see a row at a time, so the
+    measurements are carried beside the row and no join is needed."""
+    names = docs.columns
+    rows = docs.select(F.struct("doc_id", F.struct(*names).alias("row")).alias("doc_id"), "text")
+    kept = apply_policy(ledger(rows), version).where("kept")
+    return kept.select(*[F.col("doc_id.row").getField(c).alias(c) for c in names])
+
+
 def ablations(rows: DataFrame, version: str) -> DataFrame:
     """One row for each rule of the version: how many documents fail it, fail it alone (a policy
     without the rule would keep them), and all documents and rejects. Bits are summed in one
