@@ -5,28 +5,45 @@ from __future__ import annotations
 import numpy as np
 
 
+def _turned(*keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """The order of rows by keys (values, bits of each), the first key first. Where they fit into 64
+    bits with the row's number, the packed values are sorted, which is faster than an indirect sort."""
+    n = len(keys[0][0])
+    bits = n.bit_length()
+    packed = np.zeros(n, np.uint64)
+    for values, width in keys:
+        packed = (packed << np.uint64(width)) | values.astype(np.uint64)
+    if sum(w for _, w in keys) + bits > 64:
+        return np.argsort(packed)
+    packed = (packed << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Start places of the suffixes in ascending order, by prefix doubling from 8 bytes on; only
+    """Start places of the suffixes in ascending order, by prefix doubling from 4 bytes on; only
     suffixes that still tie are sorted again. The text's last byte must be its largest."""
     n = len(text)
-    key = np.ndarray((n,), ">u8", text.tobytes() + bytes(8), strides=(1,)).astype(np.uint64)
-    order = np.argsort(key)
-    sorted_key = key[order]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    key = np.ndarray((n,), ">u4", text.tobytes() + bytes(4), strides=(1,)).astype(np.uint32)
+    order = _turned((key, 32))
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     slots = np.flatnonzero(~(new & np.append(new[1:], True)))
-    step = 8
+    new = new[slots]
+    step = 4
     while len(slots):
         at = order[slots]
+        group = np.cumsum(new)
         later = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
-        both = (rank[at].astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64)
-        turn = np.argsort(both)
-        at, both = at[turn], both[turn]
+        turn = _turned((group, int(group[-1]).bit_length()), (later, n.bit_length()))
+        at, group, later = at[turn], group[turn], later[turn]
         order[slots] = at
-        new = np.concatenate([[True], both[1:] != both[:-1]])
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (later[1:] != later[:-1])])
         rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        slots = slots[~(new & np.append(new[1:], True))]
+        tied = ~(new & np.append(new[1:], True))
+        slots, new = slots[tied], new[tied]
         step *= 2
     return order
 
@@ -52,24 +69,16 @@ def smallest_owner(text: np.ndarray, ends: np.ndarray, owner: np.ndarray, length
     lf[np.argsort(bwt, kind="stable")] = np.arange(n + 1)
     initial = np.concatenate([[0], text[order[1:]]]).astype(np.uint8)  # first character of each row's suffix
     del order, bwt
-    mark = np.full(n + 1, -1, np.int32)
-
-    def by_row(rows: np.ndarray) -> np.ndarray:
-        mark[rows] = np.arange(len(rows))
-        out = mark[mark >= 0]
-        mark[rows] = -1
-        return out
-
     rows = row[ends - first]
     del row
-    turn = by_row(rows)
+    turn = _turned((rows, (n + 1).bit_length()))
     rows, live = rows[turn], turn
     key = np.ndarray((n - 7,), ">u8", text.tobytes(), strides=(1,))[ends[live] - first]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     for k in range(first, length + 1):
         if k > first:
             rows = lf[rows]
-            turn = by_row(rows)
+            turn = _turned((rows, (n + 1).bit_length()))
             rows, live, group = rows[turn], live[turn], group[turn]
             char = initial[rows]
             new = np.concatenate([[True], (char[1:] != char[:-1]) | (group[1:] != group[:-1])])

@@ -38,7 +38,7 @@ from .shared import materialize, table, texts
 LENGTH = 50
 HOT = 20_000
 KEYS_A_SHARD = 2_000_000
-SEGMENTS_A_SHARD = 100_000
+SEGMENTS_A_SHARD = 60_000
 _CHUNK = 1 << 18
 _RUN = 256  # longer runs are cut
 _NOBODY = np.iinfo(np.int64).max
