@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,6 +34,7 @@ from .shared import table, texts
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Letters of Latin-1. A run of them up to white space, a comma or a full stop is a word of its own.
 _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+WORD = re.compile(f" ?[{_LATIN}]+")
 UNIT = re.compile(f" ?[{_LATIN}]+(?![^,.{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The vocabulary's pattern for ASCII text.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
@@ -273,28 +275,46 @@ def library_memo(path: str) -> Memo:
 
     tok = Tokenizer.from_file(path)
     added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-    opens = np.zeros(tok.get_vocab_size(), bool)  # ids whose token starts with a space
-    for s, i in tok.get_vocab().items():
-        opens[i] = s.startswith(_byte_alphabet()[32])
+    model, shown = tok.model, "".join(_byte_alphabet())
 
     def encode(units: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        spaced = [u for u in units if u[0] == " " and len(u) > 1 and not u.isspace()]
-        for at in range(0, len(spaced), 5000):
-            some = spaced[at : at + 5000]
-            ids = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(opens[ids])
-            if len(starts) != len(some):
-                raise RuntimeError("the encoder's cuts cross units")
-            flat, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-            out.update(zip(some, (flat[a:b] for a, b in zip((4 * starts).tolist(), ends))))
-        other = [u for u in units if u not in out]
-        out.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(other, add_special_tokens=False))))
-        return [out[u] for u in units]
+        """A word is one piece of the pre-tokenizer and goes to the library's model as it is."""
+        word = [WORD.fullmatch(u) is not None for u in units]
+        other = iter(tok.encode_batch_fast([u for u, w in zip(units, word) if not w], add_special_tokens=False))
+        return [
+            array("I", [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(shown))] if w else next(other).ids).tobytes()
+            for u, w in zip(units, word)
+        ]
 
     return Memo(encode, added)
 
 
+@lru_cache(maxsize=2)
+def rank_memo(vocab_path: str, ranks_path: str) -> Memo:
+    """As library_memo, but plain words are encoded from the vocabulary's rank file, many at once."""
+    from .secret_scan import vocabulary
+
+    base, enc = library_memo(vocab_path), vocabulary(ranks_path)
+    opens = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(enc.n_vocab)])
+
+    def encode(units: list[str]) -> list[bytes]:
+        words = [u for u in units if u[0] == " " and WORD.fullmatch(u)]
+        known: dict[str, bytes] = {}
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            ids = np.array(enc.encode_ordinary("".join(some)), "<u4")
+            starts = 4 * np.flatnonzero(opens[ids])  # a word's first token, and no other, begins with a space
+            flat, ends = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
+            known.update(zip(some, (flat[a:b] for a, b in zip(starts.tolist(), ends)), strict=True))
+        other = [u for u in units if u not in known]
+        known.update(zip(other, base.encode_units(other)))
+        return [known[u] for u in units]
+
+    memo = Memo(encode, {})
+    memo.added, memo.cut = base.added, base.cut
+    return memo
+
+
 def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id, ids array<int>."""
     d = texts(docs)
