@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import library_memo
+from .byte_bpe import rank_memo
 from .shared import materialize, table, texts
 
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -65,13 +65,13 @@ def pack_items(lengths: list[int], sizes: tuple[int, ...]) -> tuple[list[int], l
     return bins, offsets, [next(s for s in sizes if s >= f) for f in filled]
 
 
-def lengths(docs: DataFrame, vocab_path: str) -> DataFrame:
+def lengths(docs: DataFrame, vocab_path: str, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens with the end token."""
     d = texts(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = library_memo(vocab_path)
+        memo = rank_memo(vocab_path, ranks_path)
         for b in batches:
             n = [len(x) // 4 + 1 for x in memo.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
@@ -109,11 +109,12 @@ def pack(items: DataFrame, sizes: tuple[int, ...] = SIZES, items_a_shard: int =
     )
 
 
-def pack_documents(docs: DataFrame, vocab_path: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    return pack(materialize(lengths(docs, vocab_path), "lengths"), sizes)
+def pack_documents(docs: DataFrame, vocab_path: str, ranks_path: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    return pack(materialize(lengths(docs, vocab_path, ranks_path), "lengths"), sizes)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    files = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    return pack_documents(table(spark, sf_dir, "documents"), *files)
