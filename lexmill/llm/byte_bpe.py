@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from .shared import table, texts
 
 #: Unicode White_Space, which ends the tokenizer's words.
-_SPACE = "\t-\r \x85\xa0  -     　"
-#: Letters of Latin-1. A run of them up to white space, a comma or a full stop is a word of its own.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters of Latin-1. A run of them up to white space or an ASCII character that is no letter is a word of its own.
 _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 WORD = re.compile(f" ?[{_LATIN}]+")
-UNIT = re.compile(f" ?[{_LATIN}]+(?![^,.{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_NO_LETTER = r"\x00-@\[-`{-\x7f"
+UNIT = re.compile(f" ?[{_LATIN}]+(?![^{_NO_LETTER}{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The vocabulary's pattern for ASCII text.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _BIG = np.int64(1) << 62
@@ -77,7 +78,7 @@ class Memo:
         for t in texts:
             group.append(t)
             size += len(t)
-            if size > 1_000_000:
+            if size > 60_000:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)

@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = END_ID) ->
 
     out = d.mapInArrow(run, f"doc_id {kind}, part int, start_in_part bigint, ids array<int>")
     (
-        out.write.option("compression", "zstd")
+        out.write.option("compression", "lz4")
         .option("orc.stripe.size", 16 << 20)
         .option("orc.row.index.stride", 1000)
         .option("orc.bloom.filter.columns", "doc_id")
