@@ -30,11 +30,11 @@ def as_of(facts: DataFrame, versions: DataFrame, key: list[str], at: str, start:
     inequality join would pair every fact with every version before it.
     """
     names = facts.columns
-    left = facts.select("*", F.col(at).alias("t"), F.lit(1).alias("side"), *[F.lit(None).cast(versions.schema[v].dataType).alias(f"_{v}") for v in values])
+    left = facts.select("*", F.col(at).alias("_at"), F.lit(1).alias("_side"), *[F.lit(None).cast(versions.schema[v].dataType).alias(f"_{v}") for v in values])
     right = versions.select(
         *[F.col(c) if c in key else F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in names],
-        F.col(start).alias("t"), F.lit(0).alias("side"), *[F.col(v).alias(f"_{v}") for v in values],
+        F.col(start).alias("_at"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values],
     )
-    w = Window.partitionBy(*key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.unionByName(right).select(*names, "side", *[F.last(f"_{v}", ignorenulls=True).over(w).alias(v) for v in values])
-    return filled.where("side = 1").drop("side")
+    w = Window.partitionBy(*key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = left.unionByName(right).select(*names, "_side", *[F.last(f"_{v}", ignorenulls=True).over(w).alias(v) for v in values])
+    return filled.where("_side = 1").drop("_side")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def events(spark: SparkSession, path: str, files_a_trigger: int = 16) -> DataFrame:
-    """A file stream with the schema of the table at the path."""
+    """A file stream with the schema of the table at the path; ts with the session's zone, as
+    watermarks need."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(stream: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
