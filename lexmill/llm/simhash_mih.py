@@ -24,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import parts
 from .shared import materialize, table, texts
 
 BITS = 64
+NODES_A_TASK = 10_000
 _BLOCK = 1 << 18  # shingles whose bits are unpacked at once
 
 
@@ -76,6 +78,7 @@ def links(nodes: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
         flips = [0] + ([1 << b for b in range(bits)] if radius else [])
         keys.append(_key(s, own))
         probes += [_key(s, own.bitwiseXOR(F.lit(f).cast("long"))) for f in flips]
+    nodes = nodes.repartition(parts(nodes.count(), NODES_A_TASK), "fp")  # a node has few bytes but many probes
     stored = nodes.select(F.col("fp").alias("b"), F.inline(F.array(*keys)))
     asked = nodes.select(F.col("fp").alias("a"), F.inline(F.array(*probes)))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
@@ -109,7 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, segments: int = 2, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of max_bits or fewer)."""
     each = materialize(fingerprints(docs, words, seed), "fingerprints")
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     found = components(links(nodes.select("fp"), max_bits, segments).select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
