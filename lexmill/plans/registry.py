@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, quality_queries, relational, retrieval, stream_queries, text_queries, time_graph  # noqa: F401
+from . import base, more_queries, quality_queries, relational, retrieval, stream_queries, text_queries, time_graph  # noqa: F401
 
 
 def queries() -> dict:
