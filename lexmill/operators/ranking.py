@@ -38,9 +38,10 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     (a semi join), so the shuffle of term rows carries no token that nobody asks for.
     """
     asked = query_terms(queries, "qid", F.col("body"))
-    lengths = docs.select("id", F.size(text.tokens(F.col("body"))).alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    rows = term_rows(docs, "id", F.col("body")).join(asked.select("token").distinct(), "token", "left_semi")
+    split = docs.select("id", text.tokens(F.col("body")).alias("ts"))
+    totals = split.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    each = split.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
+    rows = each.join(asked.select("token").distinct(), "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

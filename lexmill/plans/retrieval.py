@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from .base import query, table
+from .base import query, spread, table
 from .text_queries import _TOKENS
 
 _BM25 = f"""d AS (SELECT doc_id AS id, {_TOKENS} AS ts FROM documents),
@@ -21,7 +21,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC
 
 
 def _inputs(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body")))
     return docs, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("body"))
 
 

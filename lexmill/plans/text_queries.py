@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .base import query, table
+from .base import query, spread, table
 
 _NORM = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
@@ -13,7 +13,7 @@ _TOKENS = f"list_filter(string_split({_NORM}, ' '), lambda x: length(x) > 1 AND
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(table(spark, d, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 @query("p01_normalise", f"SELECT doc_id, md5({_NORM}) AS norm_md5 FROM documents")
