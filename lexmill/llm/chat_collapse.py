@@ -25,24 +25,28 @@ from .shared import table
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def keyed(turns: DataFrame) -> DataFrame:
+    """key (a struct of conv_id, so that a null one equals itself), turn, role, text without exact
+    repeats, dealt by key. The texts are shuffled here and nowhere else: what follows is grouped by
+    key, and both of its uses read the same exchange."""
+    return turns.select(F.struct("conv_id").alias("key"), "turn", "role", "text").repartition("key").distinct()
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, place, h1, h2, is_last: the rolling hash after each turn."""
-    t = turns.select("conv_id", "turn", "role", "text").distinct()
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = t.select("conv_id", F.row_number().over(w).alias("place"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"), "role", "text")
+    """key, place, n, h1, h2: the rolling hash after each turn."""
+    w = Window.partitionBy("key").orderBy("turn", "role", "text")
+    t = keyed(turns).select("key", F.row_number().over(w).alias("place"), F.count("*").over(Window.partitionBy("key")).alias("n"), "role", "text")
     shape = F.concat(F.col("role").isNull().cast("string"), F.col("text").isNull().cast("string"))
     h = [F.xxhash64(F.lit(k), "place", "role", shape, "text", F.length("role"), F.length("text")) for k in (1, 2)]
-    run = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return t.select(
-        "conv_id", "place", "n", F.bit_xor(h[0]).over(run).alias("h1"), F.bit_xor(h[1]).over(run).alias("h2")
-    )
+    run = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return t.select("key", "place", "n", F.bit_xor(h[0]).over(run).alias("h1"), F.bit_xor(h[1]).over(run).alias("h2"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id (of the representative), n_turns, n_copies: conversations that are no proper prefix
     of another, equal ones collapsed to the smallest id."""
     p = prefix_hashes(turns)
-    whole = p.where("place = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    whole = p.where("place = n").groupBy("n", "h1", "h2").agg(F.min("key.conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     inner = p.where("place < n").select(F.col("place").cast("long").alias("n"), "h1", "h2").distinct()
     return whole.join(inner, ["n", "h1", "h2"], "left_anti").select(
         "conv_id", F.col("n").cast("long").alias("n_turns"), "n_copies"
@@ -51,14 +55,13 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame, chosen: DataFrame) -> DataFrame:
     """The chosen conversations as one chat-markup text each."""
-    t = turns.select("conv_id", "turn", "role", "text").distinct()
-    t = t.join(chosen.select(F.col("conv_id").alias("chosen_id"), "n_turns", "n_copies"), F.col("conv_id").eqNullSafe(F.col("chosen_id")))
+    t = keyed(turns).join(chosen.select(F.struct("conv_id").alias("key"), "n_turns", "n_copies"), "key")
     piece = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE))
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text", piece.alias("piece"))))
-    out = t.groupBy("conv_id").agg(
+    out = t.groupBy("key").agg(
         F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_join(rows["piece"], "").alias("rendered")
     )
-    return out.withColumn("n_chars", F.length("rendered").cast("long"))
+    return out.select("key.conv_id", "n_turns", "n_copies", "rendered", F.length("rendered").cast("long").alias("n_chars"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
