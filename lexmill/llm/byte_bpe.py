@@ -46,7 +46,7 @@ _ALONE = 256  # longer pieces are processed alone
 class Memo:
     """Ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of units."""
 
-    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], added: dict[str, int], limit: int = 500_000):
+    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], added: dict[str, int], limit: int = 350_000):
         self.encode_units, self.limit, self.known, self.older = encode_units, limit, {}, {}
         self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
