@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import settle
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """src, dst, incoming: each edge and its reverse."""
@@ -21,21 +23,27 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     front = seen
     for hop in range(1, hops + 1):
         step = front.join(near, front["node"] == near["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        front = step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop))
+        front = settle(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop)), "front")
         seen = seen.unionByName(front)
     return seen
 
 
-def chain_ends(links: DataFrame, doublings: int) -> DataFrame:
+def chain_ends(links: DataFrame) -> DataFrame:
     """node, last, steps: where following one outgoing link for each node leads, by pointer
-    doubling: 2 ** doublings links at most, in as many joins as doublings."""
-    at = links.select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("steps"))
-    for _ in range(doublings):
+    doubling: a chain of n links takes log2(n) joins. Chains must end; nodes on or before a cycle
+    are left out."""
+    at = settle(links.select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("steps")), "chain")
+    most = max(1, at.count())
+    while True:
         on = at.select(F.col("node").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more"))
-        at = at.join(on, "last", "left").select(
-            "node", F.coalesce("further", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
-        )
-    return at
+        at = settle(
+            at.join(on, "last", "left").select(
+                "node", F.coalesce("further", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("open")
+            ).where(F.col("steps") <= most), "chain",
+        )
+        if at.where("open").isEmpty():
+            return at.drop("open")
+        at = at.drop("open")
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, quota: int, seed: int) -> DataFrame:

@@ -65,7 +65,7 @@ def sparse_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return dots.join(dn, "id").join(qn, "qid").select("qid", "id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine"))
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, rows_a_part: int = 20_000) -> DataFrame:
     """qid, id, cosine, rank: for each query the k nearest of all vectors.
 
     Queries meet all rows in blocks: a row is sent once for each block of queries, never once for
@@ -74,11 +74,13 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256)
     import numpy as np
     import pandas as pd
 
-    q = queries.withColumn("block", F.floor(F.col("qid") / (block * 20)).cast("long"))
+    q = queries.where("v is not null").withColumn("block", F.floor(F.col("qid") / (block * 20)).cast("long"))
     blocks = q.select("block").distinct()
-    parts = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)))
+    vectors = vectors.where("v is not null")
+    n = max(8, -(-vectors.count() // rows_a_part))  # parts of a bounded number of rows
+    parts = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)))
     sent = parts.join(blocks.select(F.collect_list("block").alias("blocks"))).select("id", "v", "part", F.explode("blocks").alias("block"))
-    asked = q.select("qid", F.col("v").alias("qv"), "block", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part"))
+    asked = q.select("qid", F.col("v").alias("qv"), "block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
 
     def unit(m):
         norm = np.linalg.norm(m, axis=1, keepdims=True)

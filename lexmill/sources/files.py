@@ -21,6 +21,14 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, what: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: iterations start from files, not from the
+    plan of all rounds before, and survive the loss of executors."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(rows: DataFrame, path: str, compression: str = "gzip") -> None:
     """One object for each line; null fields are left out."""
     rows.write.option("compression", compression).json(path)

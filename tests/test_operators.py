@@ -63,8 +63,10 @@ def test_reach_stops_and_survives_cycles(spark):
 
 def test_chain_ends(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "node int, next int")
-    got = {r["node"]: (r["last"], r["steps"]) for r in graphs.chain_ends(links, 4).collect()}
+    got = {r["node"]: (r["last"], r["steps"]) for r in graphs.chain_ends(links).collect()}
     assert got == {i: (9, 9 - i) for i in range(1, 9)}
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (7, 8)], "node int, next int")
+    assert [tuple(r) for r in graphs.chain_ends(circle).collect()] == [(7, 8, 1)]
 
 
 def test_gaps_and_runs(spark):
