@@ -12,7 +12,7 @@ def test_stages_take_effect_one_after_another(spark, small):
         docs = cp.materialize(f(spark, docs, SF), "test")
         assert docs.columns == small.columns
         seen[name] = dict(pairs(docs))
-    kept = {r["doc_id"] for r in quality_rules.apply_policy(quality_rules.ledger(small), "v1").where("kept").collect()}
+    kept = {r["doc_id"] for r in quality_rules.apply_policy(quality_rules.ledger(small), cp.POLICY).where("kept").collect()}
     quality, dedup, cut, clean = seen.values()
     assert set(quality) == kept
     fps = {i: fingerprint_truth(t) for i, t in quality.items()}
