@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import changes, quality
+from ..operators import changes, quality, trust
 from .base import query, table
+from .text_queries import _TOKENS
 
 
 @query("q01_check_runner", """WITH d AS (SELECT count(*) AS total, count(*) FILTER (coalesce(text, '') = '') AS empty_text, count(*) FILTER (length(text) <> n_chars) AS wrong_size,
@@ -118,3 +119,16 @@ def k11(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(
         F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.min(h).alias("least_hash"), F.max(h).alias("greatest_hash")
     )
+
+
+@query("q15_claim_support", f"""WITH c AS (SELECT conv_id, turn, unnest(list_distinct({_TOKENS})) AS token, len(list_distinct({_TOKENS})) AS n FROM conversations WHERE role = 'assistant'),
+s AS (SELECT item_id AS source_id, unnest(list_distinct({_TOKENS})) AS token FROM benchmark),
+p AS (SELECT conv_id, turn, n, source_id, count(*) AS common FROM c JOIN s USING (token) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY common DESC, source_id) AS k FROM p)
+SELECT conv_id, turn, source_id, round(common / n, 6) AS support, common / n >= 0.22 AS supported FROM b WHERE k = 1""")
+def q15(spark, d):
+    """The passage that supports each assistant turn best."""
+    claims = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("body"))
+    sources = table(spark, d, "benchmark").select(F.col("item_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("body"))
+    best = trust.support(claims, sources, ["conv_id", "turn"])
+    return best.select("conv_id", "turn", "source_id", F.round("support", 6).alias("support"), (F.col("support") >= trust.LEAST_SUPPORT).alias("supported"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import scores, text
-from lexmill.operators import changes, graphs, merging, quality, ranking, temporal
+from lexmill.operators import changes, graphs, merging, quality, ranking, temporal, trust
 
 
 def one(spark, column):
@@ -96,3 +96,13 @@ def test_retrieval_metrics(spark):
 def test_dates_stay_dates(spark):
     v = temporal.intervals(spark.createDataFrame([(1, dt.date(2020, 1, 1)), (1, dt.date(2021, 1, 1))], "k int, d date"), ["k"], "d", "d")
     assert sorted((r["d"].year, r["valid_to"] and r["valid_to"].year) for r in v.collect()) == [(2020, 2021), (2021, None)]
+
+
+def test_citations_are_validated(spark):
+    claims = spark.createDataFrame([
+        (1, 1, "Rates rose to seven percent [S:a]"), (1, 2, "Nothing here matches [S:a]"), (1, 3, "Rates rose [S:zz] [S ?]"),
+        (2, 1, "Seven percent rates [S:a]"), (3, 1, "Rates rose to seven percent [S:b]"),
+    ], "answer_id int, claim_id int, body string")
+    sources = spark.createDataFrame([("a", "the rates rose to seven percent", True), ("b", "rates rose to seven percent", False)], "source_id string, body string, eligible boolean")
+    got = {r["answer_id"]: (r["claims"], r["cited"], r["unknown"], r["malformed"], r["supported"], r["valid"]) for r in trust.validate(claims, sources).collect()}
+    assert got == {1: (3, 3, 1, 1, 1, False), 2: (1, 1, 0, 0, 1, True), 3: (1, 1, 1, 0, 0, False)}
