@@ -38,7 +38,8 @@ from .shared import materialize, table, texts
 LENGTH = 50
 HOT = 20_000
 KEYS_A_SHARD = 2_000_000
-SEGMENTS_A_SHARD = 60_000
+SEGMENTS_A_SHARD = 40_000
+BLOCK_BYTES = 5 << 20  # a block and its segments are held several times over
 _CHUNK = 1 << 18
 _RUN = 256  # longer runs are cut
 _NOBODY = np.iinfo(np.int64).max
@@ -106,7 +107,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for block, rows in gathered_tables(batches):
+        for block, rows in gathered_tables(batches, BLOCK_BYTES):
             rows = rows.take(pa.compute.sort_indices(rows.column(0)))  # nulls last
             bodies = utf8(rows.column(1))
             sink = pa.BufferOutputStream()
