@@ -3,10 +3,11 @@
 Patterns find the plain kinds (assign, access, hex). Besides these, a long run of key characters is
 tested by its characters per token under a byte-pair vocabulary: text that the vocabulary has seen
 takes few tokens, a random string takes many. Runs that are known digests (hexadecimal, of a digest's
-length) or identifiers (UUIDs, numbers, paths and dotted or underscored names) are not tested.
+length) or identifiers (UUIDs, times, numbers) are not tested; of names and paths only the words of 20
+or more letters are. Runs of 16 to 19 characters are tested if they have letters and digits.
 
-Defined cases: a null text is empty; overlaps with a pattern's span leave the pattern's span alone;
-spans count code points, ends exclusive; repeated rows each get a row; other columns are ignored.
+Defined cases: a null text is empty; a run inside a pattern's span adds none, one that goes beyond it
+is reported beside it; spans count code points, ends exclusive; repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = ("passw", "secret", "token", "api")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_RUN, MIN_LETTERS = 16, 20
 #: Lengths in hexadecimal digits of the digests MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+TIME = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2}(-?[0-9]{2}){0,2}Z?")
 #: Words of letters, or numbers, joined by marks: names, paths, dates, ranges.
 NAME = re.compile(r"[=/+_-]*(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/+_=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[=/+_-]*")
 MAX_CHARS_PER_TOKEN = 2.2
@@ -55,13 +58,17 @@ def _is_known(run: str) -> bool:
     body = run.strip("=-_/+")
     if len(body) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", body):
         return True
-    return bool(UUID.fullmatch(body) or NAME.fullmatch(run))
+    return bool(UUID.fullmatch(body) or TIME.fullmatch(body))
 
 
 def looks_random(run: str, enc, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
-    if _is_known(run) or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+    if _is_known(run):
         return False
-    return len(run) < limit * len(enc.encode_ordinary(run))
+    if NAME.fullmatch(run):
+        tested = [w for w in re.findall("[A-Za-z]+", run) if len(w) >= MIN_LETTERS]
+    else:
+        tested = [run] if len(run) >= MIN_LETTERS or re.search("[0-9]", run) and re.search("[A-Za-z]", run) else []
+    return any(re.search("[A-Za-z]", w) and len(w) < limit * len(enc.encode_ordinary(w)) for w in tested)
 
 
 def find_spans(text: str, enc, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
@@ -77,12 +84,12 @@ def find_spans(text: str, enc, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple
         if len(w) >= MIN_HEX:
             at = text.index(w, at)
             out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(w) if m.end() - m.start() >= MIN_HEX]
-            if len(w) >= 20:
+            if len(w) >= MIN_RUN:
                 runs += [(at + m.start(), at + m.end()) for m in RUN.finditer(w) if looks_random(m[0], enc, limit)]
             at += len(w)
     if runs:
         base = list(out)
-        out += [(a, 3, b) for a, b in runs if not any(s < b and a < e for s, _, e in base)]
+        out += [(a, 3, b) for a, b in runs if not any(s <= a and b <= e for s, _, e in base)]
     return sorted(out)
 
 
