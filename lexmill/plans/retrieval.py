@@ -47,6 +47,23 @@ def r02(spark, d):
     return ranking.top(fused.withColumn("score", F.round("score", 9)), "score", 10).select("qid", "id", "score", F.col("rank").cast("long"))
 
 
+@query("r02_fusion_full_lists", f"""WITH {_BM25},
+f AS (SELECT qid, id, 0.58 / (60 + rank) + 0.42 / (60 + row_number() OVER (PARTITION BY qid ORDER BY matched DESC, id)) AS score FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM f)
+SELECT qid, id, round(score, 9) AS score, rank FROM t WHERE rank <= 10""")
+def r02_full(spark, d):
+    """Fusion of the complete lists: only the result is cut. r02_hybrid_fusion cuts both lists at 50, as its SQL does."""
+    scored = ranking.bm25(*_inputs(spark, d)).withColumn("bm25", F.round("bm25", 6))
+    return _fused_full(scored).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
+def _fused_full(scored):
+    """The ten best of scored (qid, id, bm25, matched) by both ranks; every pair stands in both lists."""
+    place = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "id"))
+    score = 0.58 / (ranking.RRF_K + place("bm25")) + 0.42 / (ranking.RRF_K + place("matched"))
+    return ranking.top(scored.select("qid", "id", F.round(score, 9).alias("score")), "score", 10)
+
+
 @query("r04_vector_topk", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS cosine FROM v q, v WHERE q.vec_id % 20 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM p)
@@ -80,10 +97,23 @@ q AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS}) AS token FROM benchmark)
 c AS (SELECT qid, id, count(*) AS matched FROM d JOIN q USING (token) GROUP BY ALL)
 SELECT qid, id, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY matched DESC, id) AS rank FROM c) WHERE rank <= 50""")
 def r11(spark, d):
+    return _candidates(spark, d, 50)
+
+
+def _candidates(spark, d, k):
     docs, asks = _inputs(spark, d)
     terms = ranking.term_rows(docs, "id", F.col("body")).join(ranking.query_terms(asks, "qid", F.col("body")), "token")
     counted = terms.groupBy("qid", "id").agg(F.count("*").alias("matched"))
-    return ranking.top(counted, "matched", 50).select("qid", "id", "matched", F.col("rank").cast("long"))
+    return ranking.top(counted, "matched", k).select("qid", "id", "matched", F.col("rank").cast("long"))
+
+
+@query("r11_candidates_600", f"""WITH d AS (SELECT DISTINCT doc_id AS id, unnest({_TOKENS}) AS token FROM documents),
+q AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS}) AS token FROM benchmark),
+c AS (SELECT qid, id, count(*) AS matched FROM d JOIN q USING (token) GROUP BY ALL)
+SELECT qid, id, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY matched DESC, id) AS rank FROM c) WHERE rank <= 600""")
+def r11_600(spark, d):
+    """The reference's max(600, offset + 40 * limit) at offset 0 and limit 10; r11_candidates takes 50, as its SQL does."""
+    return _candidates(spark, d, max(600, 0 + 40 * 10))
 
 
 @query("a12_facets", f"""WITH {_BM25}, h AS (SELECT d.* FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 10)

@@ -2,7 +2,7 @@
 
 import random
 
-from lexmill.plans import registry
+from lexmill.plans import registry, retrieval
 
 Q = registry.queries()
 
@@ -37,3 +37,20 @@ def test_graph_queries_use_all_edges(spark, tmp_path):
     assert max(k for _, _, k in want) == 3
     assert {tuple(r) for r in Q["g04_reach_all_edges"](spark, d).select("seed", "node", "depth").collect()} == want
     assert {r["node"]: r["score"] for r in Q["g05_decayed_all_edges"](spark, d).collect()} == best
+
+
+def test_fusion_takes_the_full_lists(spark):
+    rows = [(1, i, 200.0 - i, 1) for i in range(50)] + [(1, 100 + i, 100.0 - i, 200 - i) for i in range(50)]
+    by = {c: {r[1]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[c], r[1])), 1)} for c in (2, 3)}
+    fused = lambda last: sorted(
+        (-round(sum(w / (60 + by[c][r[1]]) for c, w in ((2, 0.58), (3, 0.42)) if by[c][r[1]] <= last), 9), r[1]) for r in rows
+    )[:10]
+    got = retrieval._fused_full(spark.createDataFrame(rows, "qid long, id long, bm25 double, matched long")).orderBy("rank").collect()
+    assert [(-r["score"], r["id"]) for r in got] == fused(len(rows)) != fused(50)
+
+
+def test_candidates_reach_600(spark, tmp_path):
+    docs = [(i, "alpha " * (1 + i % 3)) for i in range(700)]
+    d = written(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(1, "alpha beta")], "item_id long, text string"))
+    got = Q["r11_candidates_600"](spark, d).collect()
+    assert sorted((r["rank"], r["id"], r["matched"]) for r in got) == [(i + 1, i, 1) for i in range(600)]
