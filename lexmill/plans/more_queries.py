@@ -92,6 +92,16 @@ def x33(spark, d):
     return table(spark, d, "documents").select("doc_id", label.alias("outcome"))
 
 
+@query("x33_outcome_tail_35000", """SELECT doc_id, CASE WHEN tail LIKE '%token%' THEN 'secret' WHEN tail LIKE '%!!%' THEN 'loud' WHEN low LIKE '%token%' THEN 'secret before' WHEN low LIKE '%!!%' THEN 'loud before' ELSE 'plain' END AS outcome
+FROM (SELECT doc_id, low, right(low, 35000) AS tail FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents))""")
+def x33_35000(spark, d):
+    """The reference's tail, then the same tests on the whole text; x33_outcome_tail takes 3,000 characters, as its SQL does."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    tail = F.right(low, F.lit(35000))
+    label = F.when(tail.contains("token"), "secret").when(tail.contains("!!"), "loud").when(low.contains("token"), "secret before").when(low.contains("!!"), "loud before")
+    return table(spark, d, "documents").select("doc_id", label.otherwise("plain").alias("outcome"))
+
+
 @query("p30_json_values", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def p30(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))

@@ -54,3 +54,10 @@ def test_candidates_reach_600(spark, tmp_path):
     d = written(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(1, "alpha beta")], "item_id long, text string"))
     got = Q["r11_candidates_600"](spark, d).collect()
     assert sorted((r["rank"], r["id"], r["matched"]) for r in got) == [(i + 1, i, 1) for i in range(600)]
+
+
+def test_outcome_reads_35000_characters_then_the_whole(spark, tmp_path):
+    docs = [(1, "Token" + "x" * 4000), (2, "token" + "x" * 36000), (3, "token" + "x" * 36000 + "!!"), (4, "!!" + "x" * 36000), (5, "!!" + "x" * 34998), (6, None), (7, "!!token" + "x" * 36000)]
+    d = written(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    got = {r["doc_id"]: r["outcome"] for r in Q["x33_outcome_tail_35000"](spark, d).collect()}
+    assert got == {1: "secret", 2: "secret before", 3: "loud", 4: "loud before", 5: "loud", 6: "plain", 7: "secret before"}
