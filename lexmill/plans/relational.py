@@ -312,8 +312,9 @@ def m06(spark, d):
 @query("m09_present_value", """WITH f AS (SELECT o_custkey, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders)
 SELECT o_custkey, round(sum(x / pow(1.08, i)), 2) AS npv FROM f GROUP BY 1""")
 def m09(spark, d):
-    flows = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))).alias("f"))
-    return flows.select("o_custkey", F.round(scores.present_value(F.transform("f", lambda x: x["o_totalprice"]), 0.08), 2).alias("npv"))
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    flows = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / F.pow(F.lit(1.08), i)).alias("x"))
+    return flows.groupBy("o_custkey").agg(F.round(F.sum("x"), 2).alias("npv"))
 
 
 @query("m01_scorecard", """WITH c AS (SELECT c_custkey, c_acctbal, count(o_orderkey) AS n, coalesce(sum(o_totalprice), 0) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),

@@ -61,3 +61,8 @@ def test_outcome_reads_35000_characters_then_the_whole(spark, tmp_path):
     d = written(spark, tmp_path, documents=(docs, "doc_id long, text string"))
     got = {r["doc_id"]: r["outcome"] for r in Q["x33_outcome_tail_35000"](spark, d).collect()}
     assert got == {1: "secret", 2: "secret before", 3: "loud", 4: "loud before", 5: "loud", 6: "plain", 7: "secret before"}
+
+
+def test_present_value_gathers_no_lists(spark):
+    plan = Q["m09_present_value"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "row_number" in plan
