@@ -5,11 +5,9 @@ leftmost pair of the lowest rank. A merge changes three leaves, each updated up
 logarithmic time, until the root says that no pair can merge. Short pieces are processed as rows of
 one numpy table, long ones alone.
 
-Texts are first cut into units (white space, a word, or a run without white space, with the single
-space before it). The tokenizer's own cuts never cross a unit, so a unit's ids do not depend on its
-neighbours and a bounded memo per Python worker serves the repeated ones. A unit of ASCII characters
-is cut into pieces by the vocabulary's pattern; others by the tokenizers library's own pre-tokenizer,
-which knows the same Unicode tables as the encoder it is held against.
+Texts are first cut into units (see units.py), whose ids a bounded memo per Python worker keeps. A
+unit of ASCII characters is cut into pieces by the vocabulary's pattern; others by the tokenizers
+library's own pre-tokenizer, which knows the same Unicode tables as the encoder it is held against.
 
 Defined cases: a null text is empty and has no ids; the strings of added tokens in a text become
 their ids, as in the library's default; repeated rows each get a row; other columns are ignored.
@@ -20,8 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,67 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import table, texts
+from .units import PLAIN_WORD, Memo, id_lists, ids_of_lists, split_ids
 
-#: Unicode White_Space, which ends the tokenizer's words.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters of Latin-1. A run of them up to white space or an ASCII character that is no letter is a word of its own.
-_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-WORD = re.compile(f" ?[{_LATIN}]+")
-_NO_LETTER = r"\x00-@\[-`{-\x7f"
-UNIT = re.compile(f" ?[{_LATIN}]+(?![^{_NO_LETTER}{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The vocabulary's pattern for ASCII text.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _BIG = np.int64(1) << 62
 _ALONE = 256  # longer pieces are processed alone
-
-
-class Memo:
-    """Ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of units."""
-
-    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], added: dict[str, int], limit: int = 350_000):
-        self.encode_units, self.limit, self.known, self.older = encode_units, limit, {}, {}
-        self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-
-    def _learn(self, units: set[str]) -> None:
-        """Units that the memo lacks. Two generations: what the older one has moves to the younger."""
-        if len(self.known) + len(units) > self.limit:
-            self.known, self.older = {}, self.known
-        old = [u for u in units if u in self.older]
-        self.known.update(zip(old, map(self.older.__getitem__, old)))
-        new = list(units.difference(old))
-        self.known.update(zip(new, self.encode_units(new)))
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        parts = [UNIT.findall(t) for t in texts]
-        found = [list(map(self.known.get, p)) for p in parts]
-        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
-        lacking = {p[i] for p, g in zip(parts, gaps) for i in g}
-        if lacking:
-            self._learn(lacking)
-            for p, f, g in zip(parts, found, gaps):
-                for i in g:
-                    f[i] = self.known[p[i]]
-        return [b"".join(f) for f in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Units that many texts share are learnt together, for about a million characters."""
-        out, group, size = [], [], 0
-        for t in texts:
-            group.append(t)
-            size += len(t)
-            if size > 60_000:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        """What stands between the strings of added tokens is encoded on its own."""
-        if self.cut is None or not any(s in t for s in self.added for t in texts):
-            return self._plain(texts)
-        cuts = [[x for x in self.cut.split(t) if x] for t in texts]
-        plain = iter(self._plain([x for c in cuts for x in c if x not in self.added]))
-        return [b"".join(self.added.get(x) or next(plain) for x in c) for c in cuts]
+_TOGETHER = 200  # words in one text for the library
 
 
 class SegmentTreeBpe:
@@ -217,16 +160,16 @@ class SegmentTreeBpe:
                 put(before, tok[before], tok[at])
         return np.array([t for t in tok if t >= 0], "<u4").tobytes()
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
+    def encode_units(self, units: list[bytes]) -> list[bytes]:
         place: dict[bytes, int] = {}
         cuts = []
         for u in units:
-            parts = _ASCII.findall(u) if u.isascii() else _library_cuts(u)
-            cuts.append([place.setdefault(p.encode(), len(place)) for p in parts])
+            parts = [u] if PLAIN_WORD(u) else _ASCII.findall(u) if u.isascii() else _library_cuts(u.decode())
+            cuts.append([place.setdefault(p, len(place)) for p in parts])
         ids = self.encode_pieces(list(place))
         return [b"".join(map(ids.__getitem__, c)) for c in cuts]
 
-    def decode(self, ids: bytes) -> str:
+    def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
@@ -258,8 +201,8 @@ def _splitter():
     return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
 
-def _library_cuts(unit: str) -> list[str]:
-    return [unit[a:b] for _, (a, b) in _splitter().pre_tokenize_str(unit)]
+def _library_cuts(unit: str) -> list[bytes]:
+    return [unit[a:b].encode() for _, (a, b) in _splitter().pre_tokenize_str(unit)]
 
 
 @lru_cache(maxsize=2)
@@ -276,44 +219,26 @@ def library_memo(path: str) -> Memo:
 
     tok = Tokenizer.from_file(path)
     added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-    model, shown = tok.model, "".join(_byte_alphabet())
-
-    def encode(units: list[str]) -> list[bytes]:
-        """A word is one piece of the pre-tokenizer and goes to the library's model as it is."""
-        word = [WORD.fullmatch(u) is not None for u in units]
-        other = iter(tok.encode_batch_fast([u for u, w in zip(units, word) if not w], add_special_tokens=False))
-        return [
-            array("I", [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(shown))] if w else next(other).ids).tobytes()
-            for u, w in zip(units, word)
-        ]
-
-    return Memo(encode, added)
+    space = _byte_alphabet()[32]
+    opens = np.array([(tok.id_to_token(i) or "").startswith(space) for i in range(tok.get_vocab_size())])
 
+    def library(texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-@lru_cache(maxsize=2)
-def rank_memo(vocab_path: str, ranks_path: str) -> Memo:
-    """As library_memo, but plain words are encoded from the vocabulary's rank file, many at once."""
-    from .secret_scan import vocabulary
-
-    base, enc = library_memo(vocab_path), vocabulary(ranks_path)
-    opens = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(enc.n_vocab)])
-
-    def encode(units: list[str]) -> list[bytes]:
-        words = [u for u in units if u[0] == " " and WORD.fullmatch(u)]
-        known: dict[str, bytes] = {}
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            ids = np.array(enc.encode_ordinary("".join(some)), "<u4")
-            starts = 4 * np.flatnonzero(opens[ids])  # a word's first token, and no other, begins with a space
+    def encode(units: list[bytes]) -> list[bytes]:
+        """Plain words go to the library many in one text: a word's first token, and no other, begins with a space."""
+        words, other = [], []
+        for u in units:
+            (words if PLAIN_WORD(u) else other).append(u)
+        known = dict(zip(other, (x.tobytes() for x in library(other))))
+        groups = [words[at : at + _TOGETHER] for at in range(0, len(words), _TOGETHER)]
+        for some, ids in zip(groups, library([b"".join(g) for g in groups])):
+            starts = 4 * np.flatnonzero(opens[ids])
             flat, ends = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
             known.update(zip(some, (flat[a:b] for a, b in zip(starts.tolist(), ends)), strict=True))
-        other = [u for u in units if u not in known]
-        known.update(zip(other, base.encode_units(other)))
         return [known[u] for u in units]
 
-    memo = Memo(encode, {})
-    memo.added, memo.cut = base.added, base.cut
-    return memo
+    return Memo(encode, added)
 
 
 def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -324,7 +249,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = segment_tree_memo(vocab_path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), id_lists(memo.encode(b.column(1).to_pylist()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), id_lists(*memo.encode(b.column(1)))], names=["doc_id", "ids"])
 
     return d.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -336,27 +261,12 @@ def decode(rows: DataFrame, vocab_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = segment_tree_memo(vocab_path)
         for b in batches:
-            out = [bpe.decode(x) for x in id_bytes(b.column(1))]
+            out = [bpe.decode(x) for x in split_ids(*ids_of_lists(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def id_lists(each: list[bytes]) -> pa.Array:
-    """Lists of int32 from ids as bytes."""
-    ends = np.zeros(len(each) + 1, np.int64)
-    np.cumsum([len(x) // 4 for x in each], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), "<i4")))
-
-
-def id_bytes(lists: pa.Array) -> list[bytes]:
-    """The way back."""
-    lists = lists.fill_null([]) if lists.null_count else lists
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4
-    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-
 def op8_segment_tree_bpe(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text that these ids decode to."""
     import public_tokenizers
@@ -369,14 +279,14 @@ def op8_segment_tree_bpe(spark, sf_dir: str) -> DataFrame:
         bpe, memo = segment_tree_memo(path)
         sha = hashlib.sha256
         for b in batches:
-            ids = memo.encode(b.column(1).to_pylist())
+            sizes, hashes, decoded = [], [], []
+            for flat, n in memo.slices(b.column(1)):
+                for x in split_ids(flat, n):
+                    hashes.append(sha(x).hexdigest())
+                    decoded.append(sha(bpe.decode(x).encode()).hexdigest())
+                sizes += n.tolist()
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([sha(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([sha(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -5,8 +5,10 @@ and Bloom filters on doc_id let a reader skip stripes and row groups by metadata
 files by stripes. Each row also carries its part and its start within the part, so that the global
 start of a document needs one sum for each part and no scan of the rows before it.
 
-Defined cases: a null text is empty and has the end id alone; equal doc_ids are ordered by text, a
-null doc_id comes first; an empty table gives files without rows; other columns are ignored.
+Files are ranges of (doc_id, XXH64 of the text), so that rows of one doc_id, or of none, are spread too.
+
+Defined cases: a null text is empty and has the end id alone; equal doc_ids are ordered by that hash
+(signed, seed 42) and text, a null doc_id comes first; an empty table gives files without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,28 +22,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import id_bytes, id_lists, library_memo
+from .byte_bpe import library_memo
 from .shared import fresh_dir, materialize, table, texts
+from .units import id_lists, ids_of_lists, split_ids, with_end
 
 END_ID = 0
 
 
 def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = END_ID) -> None:
     """Encodes with the tokenizers library, appends end_id, writes ORC."""
-    d = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    d = texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end, at, part = library_memo(vocab_path), np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
+        memo, at, part = library_memo(vocab_path), 0, TaskContext.get().partitionId()
         for b in batches:
-            ids = [x + end for x in memo.encode(b.column(1).to_pylist())]
-            size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            starts = at + np.cumsum(size) - size
-            at += int(size.sum())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), id_lists(ids)],
-                names=["doc_id", "part", "start_in_part", "ids"],
-            )
+            row = 0
+            for flat, sizes in memo.slices(b.column(1)):
+                flat, sizes = with_end(flat, sizes, end_id)
+                starts = at + np.cumsum(sizes) - sizes
+                at += len(flat)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(row, len(sizes)), pa.array(np.full(len(sizes), part, np.int32)), pa.array(starts), id_lists(flat, sizes)],
+                    names=["doc_id", "part", "start_in_part", "ids"],
+                )
+                row += len(sizes)
 
     out = d.mapInArrow(run, f"doc_id {kind}, part int, start_in_part bigint, ids array<int>")
     (
@@ -67,12 +72,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = id_bytes(b.column(3))
+            flat, sizes = ids_of_lists(b.column(3))
             yield pa.RecordBatch.from_arrays(
                 [
                     *b.columns[:3],
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    pa.array(sizes),
+                    pa.array([zlib.crc32(x) for x in split_ids(flat, sizes)], pa.int64()),
                 ],
                 names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"],
             )
