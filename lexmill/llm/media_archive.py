@@ -8,7 +8,9 @@ batches of bounded size. A member whose bytes cannot be read or fail their check
 its offset, with a new handle, without reading its neighbours again; after the last try the read
 fails, or, with option onError=null, the row stays with null media.
 
-Defined cases: a null text is empty (one row of 64 zero samples); repeated rows are members of their
+Ranges grow with the store, so that the planner lists no more than MOST_RANGES and one for each archive.
+
+Defined cases: doc_ids are integers; a null text is empty (one row of 64 zero samples); repeated rows are members of their
 own; a null doc_id is kept; an empty table gives an empty folder that reads as no rows; other
 columns are ignored.
 """
@@ -38,6 +40,7 @@ from .shared import fresh_dir, table, texts
 WIDTH = 64
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
+MOST_RANGES = 200_000
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
 TRIES = 4
@@ -171,7 +174,8 @@ class ArchiveReader(DataSourceReader):
             if n.startswith("archives-"):
                 with store.open_input_stream(files[n].path) as f:
                     names += json.loads(f.read())
-        step = int(self.options.get("rangeBytes", RANGE_BYTES))
+        total = sum(files[n].size for n in names)
+        step = int(self.options.get("rangeBytes", max(RANGE_BYTES, -(-total // MOST_RANGES))))  # the driver's list stays bounded
         return [ArchiveRange(files[n].path, at, at + step) for n in names for at in range(0, files[n].size, step)] or [ArchiveRange("", 0, 0)]
 
     def read(self, partition: ArchiveRange) -> Iterator[pa.RecordBatch]:

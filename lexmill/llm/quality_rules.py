@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once for a document. The ledger keeps the measurements and one integer
-whose bit r is set where rule r fails. Policies are versioned masks over those bits, so a policy
-change or an ablation reads the ledger and never the texts again.
+whose bit r is set where rule r fails, and is written to the shared folder. Policies are versioned
+masks over those bits, so a policy change or an ablation reads the stored ledger and never the texts
+again; every rule's measurements are in it, so a threshold can be moved without them too.
 
 Defined cases: a null text is a text without words; a null doc_id is kept as it is; repeated rows
 each get their row; an empty table gives an empty ledger; columns besides id and text are ignored.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_GAP, texts
+from .shared import WORD_GAP, materialize, table, texts
 
 SYMBOLS = "#*$%&|<>"
 
@@ -130,17 +131,22 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured(docs, id_col, text_col).withColumn("failed", failed)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder and read from there."""
+    return materialize(ledger(docs), "quality-ledger")
+
+
 def apply_policy(rows: DataFrame, version: str) -> DataFrame:
     """Adds `kept` by the version's mask."""
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES[version])).cast("long")) == 0)
 
 
 def keep(docs: DataFrame, version: str) -> DataFrame:
-    """The rows, with all columns, that the version keeps. Rules see a row at a time, so the
-    measurements are carried beside the row and no join is needed."""
+    """The rows, with all columns, that the version keeps. Rules see a row at a time, so the stored
+    ledger carries the rows beside the measurements and no join is needed."""
     names = docs.columns
     rows = docs.select(F.struct("doc_id", F.struct(*names).alias("row")).alias("doc_id"), "text")
-    kept = apply_policy(ledger(rows), version).where("kept")
+    kept = apply_policy(stored(rows), version).where("kept")
     return kept.select(*[F.col("doc_id.row").getField(c).alias(c) for c in names])
 
 
@@ -162,21 +168,23 @@ def ablations(rows: DataFrame, version: str) -> DataFrame:
     return rows.select("docs", "rejected", F.inline(each))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_letter_words")
+
+
 def op7_quality_ledger(spark, sf_dir: str) -> DataFrame:
     """The ledger of all documents under policy v2."""
-    from .shared import table
-
     base = mask_of(POLICIES["base"])
-    d = apply_policy(ledger(table(spark, sf_dir, "documents")), "v2")
-    return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (F.col("failed").bitwiseAND(F.lit(base).cast("long")) != 0).alias("base_failed"), "kept", "failed",
-    )
+    d = apply_policy(stored(table(spark, sf_dir, "documents")), "v2")
+    return d.select("doc_id", *MEASURES, (F.col("failed").bitwiseAND(F.lit(base).cast("long")) != 0).alias("base_failed"), "kept", "failed")
+
+
+def rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, and rejects alone, from the stored ledger."""
+    return ablations(stored(table(spark, sf_dir, "documents")), "v1")
 
 
 _W = r"[\x20\x09-\x0D]+"
-ORACLE = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+_LEDGER = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_W}'), lambda x: x <> '') AS ws,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 k AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
@@ -194,5 +202,12 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
 f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
   + 8 * (10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
   + 32 * (n_upper > n_lower)::INT + 64 * (2 * n_letter_words < n_words)::INT AS BIGINT) AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & ~8) = 0 AS kept, failed FROM f
+"""
+ORACLE = f"""{_LEDGER}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, CAST(n_upper AS BIGINT) AS n_upper, CAST(n_lower AS BIGINT) AS n_lower,
+  CAST(n_letter_words AS BIGINT) AS n_letter_words, (failed & 3) <> 0 AS base_failed, (failed & ~8) = 0 AS kept, failed FROM f
+"""
+ABLATIONS = f"""{_LEDGER}, rules AS (SELECT unnest(range(7)) AS bit, unnest([{", ".join(f"'{r}'" for r in RULES)}]) AS rule)
+SELECT (SELECT count(*) FROM f) AS docs, (SELECT count(*) FROM f WHERE failed <> 0) AS rejected, rule,
+  (SELECT count(*) FROM f WHERE (failed >> bit) & 1 = 1) AS fails, (SELECT count(*) FROM f WHERE failed = 1 << bit) AS fails_alone FROM rules
 """

@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_chat_collapse": chat_collapse.op5_chat_collapse,
         "op6_best_fit_packing": best_fit.op6_best_fit_packing,
         "op7_quality_ledger": quality_rules.op7_quality_ledger,
+        "rule_ablations": quality_rules.rule_ablations,
         "op8_segment_tree_bpe": byte_bpe.op8_segment_tree_bpe,
         "op9_secret_spans": secret_scan.op9_secret_spans,
         "op10_simhash_groups": simhash_mih.op10_simhash_groups,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_collapse": chat_collapse.ORACLE, "op7_quality_ledger": quality_rules.ORACLE}
+    return {"op5_chat_collapse": chat_collapse.ORACLE, "op7_quality_ledger": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS}

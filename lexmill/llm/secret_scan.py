@@ -1,10 +1,11 @@
 """Secret scan with a token-efficiency test.
 
-Patterns find the plain kinds (assign, access, hex). Besides these, a long run of key characters is
-tested by its characters per token under a byte-pair vocabulary: text that the vocabulary has seen
-takes few tokens, a random string takes many. Runs that are known digests (hexadecimal, of a digest's
-length) or identifiers (UUIDs, times, numbers) are not tested; of names and paths only the words of 20
-or more letters are. Runs of 16 to 19 characters are tested if they have letters and digits.
+Patterns find the plain kinds (assign, access, hex). Besides these, a run of key characters is tested by
+its characters per token under a byte-pair vocabulary: text that the vocabulary has seen takes few tokens,
+a random string takes many. Runs that are known digests (hexadecimal, of a digest's length) or identifiers
+(UUIDs, times, numbers) are not tested; names and paths are tested word by word. The limit falls with the
+evidence: 2.2 from 20 characters on; for 16 to 19, 2.2 with digits or inner capitals, 1.8 for capitals
+alone and 1.5 for what is shaped like a word; for 12 to 15, 1.9 with digits or inner capitals.
 
 Defined cases: a null text is empty; a run inside a pattern's span adds none, one that goes beyond it
 is reported beside it; spans count code points, ends exclusive; repeated rows each get a row; other columns are ignored.
@@ -30,15 +31,18 @@ HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = ("passw", "secret", "token", "api")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIN_RUN, MIN_LETTERS = 16, 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+MIN_RUN = 12
 #: Lengths in hexadecimal digits of the digests MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 TIME = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2}(-?[0-9]{2}){0,2}Z?")
 #: Words of letters, or numbers, joined by marks: names, paths, dates, ranges.
 NAME = re.compile(r"[=/+_-]*(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/+_=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[=/+_-]*")
-MAX_CHARS_PER_TOKEN = 2.2
+WORD, CAPITALS = re.compile("[A-Za-z]?[a-z]+"), re.compile("[A-Z]+")
+#: At fewer characters per token a string of this shape and length or more is random; limits were set on
+#: random strings and on the runs of a corpus, and tests report recall and false hits by class.
+LIMITS = {"word": ((20, 2.2), (16, 1.5)), "capitals": ((20, 2.2), (16, 1.8)), "mixed": ((16, 2.2), (12, 1.9))}
 
 
 @lru_cache(maxsize=2)
@@ -61,17 +65,22 @@ def _is_known(run: str) -> bool:
     return bool(UUID.fullmatch(body) or TIME.fullmatch(body))
 
 
-def looks_random(run: str, enc, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
+def limit_of(word: str) -> float:
+    """The limit for a string of key characters; 0 for one that is not tested."""
+    if not re.search("[A-Za-z]", word):
+        return 0.0
+    shape = "word" if WORD.fullmatch(word) else "capitals" if CAPITALS.fullmatch(word) else "mixed"
+    return next((limit for least, limit in LIMITS[shape] if len(word) >= least), 0.0)
+
+
+def looks_random(run: str, enc) -> bool:
     if _is_known(run):
         return False
-    if NAME.fullmatch(run):
-        tested = [w for w in re.findall("[A-Za-z]+", run) if len(w) >= MIN_LETTERS]
-    else:
-        tested = [run] if len(run) >= MIN_LETTERS or re.search("[0-9]", run) and re.search("[A-Za-z]", run) else []
-    return any(re.search("[A-Za-z]", w) and len(w) < limit * len(enc.encode_ordinary(w)) for w in tested)
+    tested = re.findall("[A-Za-z]+", run) if NAME.fullmatch(run) else [run]
+    return any(limit and len(w) < limit * len(enc.encode_ordinary(w)) for w, limit in ((w, limit_of(w)) for w in tested))
 
 
-def find_spans(text: str, enc, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
+def find_spans(text: str, enc) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end), ordered."""
     out = []
     low = text.lower()
@@ -81,11 +90,12 @@ def find_spans(text: str, enc, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     at, runs = 0, []
     for w in text.split():  # no run of HEX or RUN crosses white space
-        if len(w) >= MIN_HEX:
+        if len(w) >= MIN_RUN:
             at = text.index(w, at)
-            out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(w) if m.end() - m.start() >= MIN_HEX]
-            if len(w) >= MIN_RUN:
-                runs += [(at + m.start(), at + m.end()) for m in RUN.finditer(w) if looks_random(m[0], enc, limit)]
+            if len(w) >= MIN_HEX:
+                out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(w) if m.end() - m.start() >= MIN_HEX]
+            if not WORD.fullmatch(w) or len(w) >= MIN_HEX:
+                runs += [(at + m.start(), at + m.end()) for m in RUN.finditer(w) if looks_random(m[0], enc)]
             at += len(w)
     if runs:
         base = list(out)
@@ -97,7 +107,7 @@ def digest(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, vocab_path: str, limit: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
+def scan(docs: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id and spans array<struct<start, kind, end>>, one row for each document."""
     d = texts(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
@@ -107,7 +117,7 @@ def scan(docs: DataFrame, vocab_path: str, limit: float = MAX_CHARS_PER_TOKEN) -
         enc = vocabulary(vocab_path)
         for b in batches:
             rows = [
-                [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in find_spans(x, enc, limit)]
+                [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in find_spans(x, enc)]
                 for x in b.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, span)], names=["doc_id", "spans"])
@@ -115,7 +125,7 @@ def scan(docs: DataFrame, vocab_path: str, limit: float = MAX_CHARS_PER_TOKEN) -
     return d.mapInArrow(run, f"doc_id {kind}, spans array<struct<start:bigint,kind:string,end:bigint>>")
 
 
-def redact(docs: DataFrame, vocab_path: str, limit: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
+def redact(docs: DataFrame, vocab_path: str) -> DataFrame:
     """The documents, all columns, with each union of spans replaced by [SECRET]; n_chars follows where it is present. A null text stays null."""
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -124,7 +134,7 @@ def redact(docs: DataFrame, vocab_path: str, limit: float = MAX_CHARS_PER_TOKEN)
         if text is None:
             return None
         parts, last = [], 0
-        for s, _, e in find_spans(text, enc, limit):
+        for s, _, e in find_spans(text, enc):
             if s > last or not parts and s == last:
                 parts += [text[last:s], "[SECRET]"]
             last = max(last, e)

@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -284,4 +286,46 @@ def test_media_query_values(spark, small):
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
         png = media_archive.to_png(p)
         want = (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(png), hashlib.sha256(png).hexdigest())
-        assert tuple(got[i])[1:7] == want and got[i]["feature"].startswith("mean=")
+        assert tuple(got[i])[1:7] == want
+        v = [list(p[at : at + 64]) for at in range(0, len(p), 64)]
+        flat, step = [x for row in v for x in row], [abs(a - b) for row in v for a, b in zip(row, row[1:])]
+        mean = sum(flat) / len(flat)
+        dev, share = math.sqrt(sum((x - mean) ** 2 for x in flat) / len(flat)), [n / len(flat) for n in collections.Counter(flat).values()]
+        parts = dict(x.split("=") for x in got[i]["feature"].split(";"))
+        truth = {"mean": mean, "dev": dev, "entropy": -sum(q * math.log2(q) for q in share), "step": sum(step) / len(step)}
+        assert parts.keys() == truth.keys() and all(float(parts[k]) == pytest.approx(truth[k], abs=1e-4) for k in truth)
+
+
+def written(spark, odd, tmp_path):
+    odd.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_bpe_query_values(spark, odd, tmp_path):
+    got = sorted((tuple(r) for r in byte_bpe.op8_segment_tree_bpe(spark, written(spark, odd, tmp_path)).collect()), key=str)
+    want = []
+    for i, t in pairs(odd):
+        ids = library_ids(t)
+        text = LIBRARY.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_secret_query_values(spark, odd, tmp_path):
+    """Counts and digests of the base spans by the contract's own patterns, all spans as they are joined."""
+    patterns = [
+        (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        (r"(AKIA[A-Z0-9]+)", 1, 18), (r"([0-9a-f]+)", 1, 16),
+    ]
+    names, want = ("assign", "access", "hex"), {}
+    rows = secret_scan.op9_secret_spans(spark, written(spark, odd, tmp_path)).collect()
+    for i, t in pairs(odd):
+        spans = sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(patterns) for m in re.finditer(p, t) if len(m[g]) >= least)
+        digest = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        want.setdefault(i, []).append((*[sum(k == j for _, k, _ in spans) for j in range(3)], hashlib.sha256(digest.encode()).hexdigest(), digest))
+    got = {}
+    for r in rows:
+        base = ",".join(x for x in r["spans"].split(",") if x and not x.startswith("random"))
+        got.setdefault(r["doc_id"], []).append((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], base))
+        assert r["n_random"] == r["spans"].count("random:")
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(r["n_random"] for r in rows)
