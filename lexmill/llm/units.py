@@ -111,6 +111,7 @@ class Memo:
             some = part.tobytes() if self.added else b""
             yield (self._with_added if any(a in some for a in self.added) else self._plain)(part, reach)
             row, begin = stop, int(ends[stop - 1])
+        pa.default_memory_pool().release_unused()  # a worker's memory follows the batch at hand
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column's texts one after another, and how many each has."""
