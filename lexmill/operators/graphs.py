@@ -58,3 +58,41 @@ def degrees(edges: DataFrame) -> DataFrame:
         edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
     )
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+
+
+def walk(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """node, reached: all nodes that following links (node, next) leads to from each start; every hop joins the
+    frontier alone, and pairs that were seen stop, so cycles end."""
+    front = settle(starts.select(F.col("node").alias("start"), F.col("node").alias("at")), "walk")
+    seen = None
+    while True:
+        step = front.join(links.withColumnRenamed("node", "at"), "at").select("start", F.col("next").alias("at")).distinct()
+        if seen is not None:
+            step = step.join(seen, ["start", "at"], "left_anti")
+        front = settle(step, "walk")
+        if front.isEmpty():
+            break
+        seen = front if seen is None else settle(seen.unionByName(front), "walked")
+    out = seen if seen is not None else front
+    return out.select(F.col("start").alias("node"), F.col("at").alias("reached"))
+
+
+def descendants(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """node: all nodes behind any of the roots, by hops over a shrinking frontier of new nodes."""
+    near = links.select(F.col("node").alias("at"), F.col("next").alias("node"))
+    front, seen = roots.select(F.col("node").alias("at")).distinct(), None
+    while True:
+        step = front.join(near, "at").select("node").distinct()
+        if seen is not None:
+            step = step.join(seen, "node", "left_anti")
+        new = settle(step, "descendants")
+        if new.isEmpty():
+            return seen if seen is not None else new
+        seen = new if seen is None else settle(seen.unionByName(new), "descendants")
+        front = new.withColumnRenamed("node", "at")
+
+
+def unmet(jobs: DataFrame, key: str, deps: str, done: DataFrame) -> DataFrame:
+    """key, unmet: how many of a job's dependencies (an array) are not among the done ones (dep)."""
+    each = jobs.select(key, F.explode(deps).alias("dep")).join(done.select("dep", F.lit(True).alias("_done")), "dep", "left")
+    return each.groupBy(key).agg(F.count_if(F.col("_done").isNull()).alias("unmet"))

@@ -55,6 +55,18 @@ def top(rows: DataFrame, by: str, k: int, key: str = "qid", tie: str = "id") ->
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def places(rows: DataFrame, key: list[str], by: str, tie: str, width: float) -> DataFrame:
+    """The rows with rank, their place within the key by `by` descending, then `tie`. A key's rows are not
+    sorted in one task: a row's place is its place within a band of `width` of the score, plus the rows of
+    the bands above."""
+    banded = rows.withColumn("_band", F.floor(F.col(by) / width))
+    counts = banded.groupBy(*key, "_band").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*key).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_above", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(*key, "_band").orderBy(F.desc(by), tie))
+    return banded.withColumn("_place", inner).join(counts, [*key, "_band"]).withColumn("rank", F.col("_place") + F.col("_above")).drop("_band", "_place", "_above")
+
+
 def sparse_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, id, cosine of term-frequency vectors; pairs without a common token are left out."""
     d = term_rows(docs, "id", F.col("body")).select("id", "token", F.col("tf").alias("d"))
@@ -65,22 +77,15 @@ def sparse_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return dots.join(dn, "id").join(qn, "qid").select("qid", "id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine"))
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, rows_a_part: int = 20_000) -> DataFrame:
-    """qid, id, cosine, rank: for each query the k nearest of all vectors.
-
-    Queries meet all rows in blocks: a row is sent once for each block of queries, never once for
-    each query, and each task keeps the k best of a block before they are shuffled.
-    """
+def _dense(vectors: DataFrame, queries: DataFrame, k: int | None, block: int, rows_a_part: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    q = queries.where("v is not null").withColumn("block", F.floor(F.col("qid") / (block * 20)).cast("long"))
-    blocks = q.select("block").distinct()
-    vectors = vectors.where("v is not null")
-    n = max(8, -(-vectors.count() // rows_a_part))  # parts of a bounded number of rows
-    parts = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)))
-    sent = parts.join(blocks.select(F.collect_list("block").alias("blocks"))).select("id", "v", "part", F.explode("blocks").alias("block"))
-    asked = q.select("qid", F.col("v").alias("qv"), "block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    q, vectors = queries.where("v is not null"), vectors.where("v is not null")
+    blocks, n = max(1, -(-q.count() // block)), max(8, -(-vectors.count() // rows_a_part))  # blocks of queries, parts of rows
+    part, turn = F.pmod(F.xxhash64("id"), F.lit(n)), F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    sent = vectors.select("id", "v", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = q.select("qid", F.col("v").alias("qv"), turn.cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"))
 
     def unit(m):
         norm = np.linalg.norm(m, axis=1, keepdims=True)
@@ -89,16 +94,29 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256,
     def nearest(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asks):
             return pd.DataFrame({"qid": [], "id": [], "cosine": []})
-        ids = rows["id"].to_numpy()
+        ids, qids = rows["id"].to_numpy(), asks["qid"].to_numpy()
         sims = unit(np.stack(asks["qv"]).astype(float)) @ unit(np.stack(rows["v"]).astype(float)).T
-        out = []
-        for qid, s in zip(asks["qid"], sims):
-            near = np.lexsort((ids, -s))[:k]
-            out.append(pd.DataFrame({"qid": qid, "id": ids[near], "cosine": s[near]}))
-        return pd.concat(out).dropna()
+        if k is None:
+            near = np.tile(np.arange(len(ids)), (len(qids), 1))
+        else:
+            near = np.array([np.lexsort((ids, -s))[:k] for s in sims])
+        return pd.DataFrame({"qid": np.repeat(qids, near.shape[1]), "id": ids[near].ravel(), "cosine": np.take_along_axis(sims, near, 1).ravel()}).dropna()
+
+    return sent.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(nearest, "qid long, id long, cosine double")
+
 
-    best = sent.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(nearest, "qid long, id long, cosine double")
-    return top(best.withColumn("cosine", F.round("cosine", 9)), "cosine", k)
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, rows_a_part: int = 20_000) -> DataFrame:
+    """qid, id, cosine, rank: for each query the k nearest of all vectors (id, v).
+
+    Queries meet all rows in blocks: a row is sent once for each block of queries, never once for
+    each query, and each task keeps the k best of a block before they are shuffled.
+    """
+    return top(_dense(vectors, queries, k, block, rows_a_part).withColumn("cosine", F.round("cosine", 9)), "cosine", k)
+
+
+def dense_all(vectors: DataFrame, queries: DataFrame, block: int = 256, rows_a_part: int = 2_000) -> DataFrame:
+    """qid, id, cosine of a stated query set against all vectors, in blocks."""
+    return _dense(vectors, queries, None, block, rows_a_part)
 
 
 def fuse(left: DataFrame, right: DataFrame, weights: tuple[float, float] = (0.58, 0.42), k: int = RRF_K) -> DataFrame:
@@ -115,21 +133,24 @@ def facets(ranked: DataFrame, columns: list[str]) -> DataFrame:
     return ranked.select(F.inline(F.array(*each))).groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
-def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """qid, hits, recall, mrr, ndcg at k. ranked: qid, id, rank; gold: qid, id, grade."""
+def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int, required: int = 3) -> DataFrame:
+    """qid, hits, recall, mrr, ndcg, all_required, forbidden at k. ranked: qid, id, rank; gold: qid, id, grade:
+    `required` or more must be there, 0 must not."""
     seen = ranked.where(F.col("rank") <= k).join(gold, ["qid", "id"], "left").withColumn("g", F.coalesce("grade", F.lit(0)))
     gain = (F.pow(F.lit(2.0), F.col("g")) - 1) / F.log2(F.col("rank") + 1)
     w = Window.partitionBy("qid").orderBy(F.col("grade").desc(), "id")
-    ideal = gold.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    ideal = ideal.groupBy("qid").agg(
-        F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("r") + 1)).alias("idcg"), F.count_if(F.col("grade") > 0).alias("wanted")
+    best = F.when(F.col("r") <= k, (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("r") + 1))
+    ideal = gold.withColumn("r", F.row_number().over(w)).groupBy("qid").agg(
+        F.sum(best).alias("idcg"), F.count_if(F.col("grade") > 0).alias("wanted"), F.count_if(F.col("grade") >= required).alias("required")
     )
     got = seen.groupBy("qid").agg(
-        F.count_if(F.col("g") > 0).alias("hits"), F.coalesce(1.0 / F.min(F.when(F.col("g") > 0, F.col("rank"))), F.lit(0.0)).alias("mrr"), F.sum(gain).alias("dcg")
-    )
+        F.count_if(F.col("g") > 0).alias("hits"), F.coalesce(1.0 / F.min(F.when(F.col("g") > 0, F.col("rank"))), F.lit(0.0)).alias("mrr"), F.sum(gain).alias("dcg"),
+        F.count_if(F.col("g") >= required).alias("found"), F.count_if(F.col("grade") == 0).alias("forbidden"),
+    )
     return got.join(ideal, "qid", "left").select(
-        "qid", "hits", "mrr", F.coalesce(F.try_divide("hits", "wanted"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)).alias("ndcg")
-    )
+        "qid", "hits", "mrr", F.coalesce(F.try_divide("hits", "wanted"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)).alias("ndcg"),
+        F.coalesce((F.col("required") > 0) & (F.col("found") == F.col("required")), F.lit(False)).alias("all_required"), "forbidden",
+    )
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -24,17 +24,20 @@ def intervals(rows: DataFrame, key: list[str], start: str, tie: str) -> DataFram
 
 
 def as_of(facts: DataFrame, versions: DataFrame, key: list[str], at: str, start: str, values: list[str]) -> DataFrame:
-    """Each fact with the values of the latest version that starts at or before it, null if none.
+    """Each fact with the values of the latest version that starts at or before it, null if none. A
+    version's null value is a value: the version before it does not show through.
 
     A union of both sides sorted by time within the key, filled down: linear in the rows, where an
     inequality join would pair every fact with every version before it.
     """
     names = facts.columns
-    left = facts.select("*", F.col(at).alias("_at"), F.lit(1).alias("_side"), *[F.lit(None).cast(versions.schema[v].dataType).alias(f"_{v}") for v in values])
+    kept = F.struct(*[F.col(v).alias(v) for v in values])
+    kind = versions.select(kept.alias("v")).schema["v"].dataType
+    left = facts.select("*", F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_version"))
     right = versions.select(
         *[F.col(c) if c in key else F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in names],
-        F.col(start).alias("_at"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values],
+        F.col(start).alias("_at"), F.lit(0).alias("_side"), kept.alias("_version"),
     )
     w = Window.partitionBy(*key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.unionByName(right).select(*names, "_side", *[F.last(f"_{v}", ignorenulls=True).over(w).alias(v) for v in values])
-    return filled.where("_side = 1").drop("_side")
+    filled = left.unionByName(right).withColumn("_version", F.last("_version", ignorenulls=True).over(w))
+    return filled.where("_side = 1").select(*names, *[F.col("_version").getField(v).alias(v) for v in values])

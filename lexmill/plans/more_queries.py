@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import graphs, merging, quality, ranking
 from ..sources import files
 from .base import query, table
-from .retrieval import _BM25, _inputs
+from .retrieval import _BM25, _all_scored, _inputs, _ranked
 from .text_queries import _TOKENS
 
 
@@ -25,11 +25,11 @@ sc AS (SELECT qid, id, least(100, 6100 * (0.58 / (60 + rl) + 0.42 / (60 + CASE W
 SELECT qid, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 4) DESC, id) AS rank FROM sc) WHERE rank <= 10""")
 def r03(spark, d):
     """Rows that the tenant may see; lexical and dense ranks fused, then weighed by both scores."""
-    docs, asks = _inputs(spark, d)
+    asks = _inputs(spark, d)[1]
     seen = table(spark, d, "documents").where(F.col("source").rlike("[02468]$") | (F.col("source") == "src1")).select(F.col("doc_id").alias("id"))
     nq = ranking.query_terms(asks, "qid", F.col("body")).groupBy("qid").agg(F.count("*").alias("nq"))
     v = table(spark, d, "embeddings")
-    p = ranking.bm25(docs, asks).join(nq, "qid").join(seen, "id", "left_semi")
+    p = _all_scored(spark, d).join(nq, "qid").join(seen, "id", "left_semi")
     p = p.join(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a")), "qid", "left").join(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b")), "id", "left")
     lex = F.least(F.lit(1.0), F.col("bm25") / F.greatest(F.lit(2.0), 1.7 * F.col("nq"))) * 0.7 + 0.3 * F.col("matched") / F.col("nq")
     p = p.select("qid", "id", lex.alias("lex"), scores.cosine(F.col("a"), F.col("b")).alias("sem"))
@@ -58,7 +58,7 @@ SELECT qid, id, round(bm25 * CASE lang WHEN 'en' THEN 1.2 WHEN 'de' THEN 1.0 ELS
 def r17(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
     bonus = F.coalesce(F.create_map(*[F.lit(x) for x in ("en", 1.2, "de", 1.0)])[F.col("lang")], F.lit(0.8))
-    best = ranking.top(ranking.bm25(*_inputs(spark, d)).withColumn("bm25", F.col("bm25")).withColumn("by", F.round("bm25", 6)), "by", 20)
+    best = _ranked(spark, d, 20)
     return best.join(docs, "id").select("qid", "id", F.round(F.col("bm25") * bonus * (1 + F.least("n_chars", F.lit(4500)) / 30000), 4).alias("score"))
 
 
@@ -83,19 +83,10 @@ def x02(spark, d):
     return rows.select("doc_id", F.col("chunk_no").cast("long"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query("x33_outcome_tail", """SELECT doc_id, CASE WHEN tail LIKE '%token%' THEN 'secret' WHEN tail LIKE '%!!%' THEN 'loud' WHEN lower(coalesce(text, '')) LIKE '%!!%' THEN 'loud before' ELSE 'plain' END AS outcome
-FROM (SELECT doc_id, text, right(lower(coalesce(text, '')), 3000) AS tail FROM documents)""")
-def x33(spark, d):
-    low = F.lower(F.coalesce("text", F.lit("")))
-    tail = F.right(low, F.lit(3000))
-    label = F.when(tail.contains("token"), "secret").when(tail.contains("!!"), "loud").when(low.contains("!!"), "loud before").otherwise("plain")
-    return table(spark, d, "documents").select("doc_id", label.alias("outcome"))
-
-
-@query("x33_outcome_tail_35000", """SELECT doc_id, CASE WHEN tail LIKE '%token%' THEN 'secret' WHEN tail LIKE '%!!%' THEN 'loud' WHEN low LIKE '%token%' THEN 'secret before' WHEN low LIKE '%!!%' THEN 'loud before' ELSE 'plain' END AS outcome
+@query("x33_outcome_tail", """SELECT doc_id, CASE WHEN tail LIKE '%token%' THEN 'secret' WHEN tail LIKE '%!!%' THEN 'loud' WHEN low LIKE '%token%' THEN 'secret before' WHEN low LIKE '%!!%' THEN 'loud before' ELSE 'plain' END AS outcome
 FROM (SELECT doc_id, low, right(low, 35000) AS tail FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents))""")
-def x33_35000(spark, d):
-    """The reference's tail, then the same tests on the whole text; x33_outcome_tail takes 3,000 characters, as its SQL does."""
+def x33(spark, d):
+    """Ordered tests on the last 35,000 characters, then the same tests on the whole text."""
     low = F.lower(F.coalesce("text", F.lit("")))
     tail = F.right(low, F.lit(35000))
     label = F.when(tail.contains("token"), "secret").when(tail.contains("!!"), "loud").when(low.contains("token"), "secret before").when(low.contains("!!"), "loud before")
@@ -196,17 +187,13 @@ def g08(spark, d):
     return o.join(latest, "o_custkey").select(F.col("o_orderkey").alias("node"), "latest")
 
 
-@query("g05_decayed_expansion", """WITH e AS (SELECT DISTINCT l_suppkey AS s, 1000000000 + l_partkey AS p FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), b AS (SELECT s AS src, p AS dst FROM e UNION SELECT p, s FROM e),
+@query("g05_decayed_expansion", """WITH e AS (SELECT DISTINCT l_suppkey AS s, 1000000000 + l_partkey AS p FROM lineitem), b AS (SELECT s AS src, p AS dst FROM e UNION SELECT p, s FROM e),
 h0 AS (SELECT s_suppkey AS node, 100.0::DOUBLE AS score FROM supplier WHERE s_suppkey % 20 = 0), h1 AS (SELECT dst AS node, max(score) * 0.62 AS score FROM h0 JOIN b ON src = node GROUP BY 1),
 h2 AS (SELECT dst AS node, max(score) * 0.42 AS score FROM h1 JOIN b ON src = node GROUP BY 1)
 SELECT node, round(max(score), 4) AS score FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node""")
 def g05(spark, d):
-    """Scores fall by hop; a node keeps the best that reaches it."""
-    return _decayed(spark, d, table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1"))
-
-
-def _decayed(spark, d, l):
-    near = graphs.both_ways(l.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).distinct())
+    """Scores fall by hop over all distinct edges; a node keeps the best that reaches it."""
+    near = graphs.both_ways(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).distinct())
     hop = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("node"), F.lit(100.0).alias("score"))
     seen = hop
     for decay in (0.62, 0.42):
@@ -215,15 +202,6 @@ def _decayed(spark, d, l):
     return seen.groupBy("node").agg(F.round(F.max("score"), 4).alias("score"))
 
 
-@query("g05_decayed_all_edges", """WITH e AS (SELECT DISTINCT l_suppkey AS s, 1000000000 + l_partkey AS p FROM lineitem), b AS (SELECT s AS src, p AS dst FROM e UNION SELECT p, s FROM e),
-h0 AS (SELECT s_suppkey AS node, 100.0::DOUBLE AS score FROM supplier WHERE s_suppkey % 20 = 0), h1 AS (SELECT dst AS node, max(score) * 0.62 AS score FROM h0 JOIN b ON src = node GROUP BY 1),
-h2 AS (SELECT dst AS node, max(score) * 0.42 AS score FROM h1 JOIN b ON src = node GROUP BY 1)
-SELECT node, round(max(score), 4) AS score FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node""")
-def g05_all(spark, d):
-    """Two hops over all distinct edges; g05_decayed_expansion takes the few that its SQL selects."""
-    return _decayed(spark, d, table(spark, d, "lineitem"))
-
-
 @query("n04_optimistic_update", "SELECT p_partkey, CASE WHEN p_size = p_partkey % 50 THEN p_size + 1 ELSE p_size END AS p_size FROM part")
 def n04(spark, d):
     """Updates of rows whose version is the expected one."""

@@ -55,10 +55,12 @@ def read_table_if_there(spark: SparkSession, name: str, schema: StructType) -> D
 
 
 def read_csv_matrix(spark: SparkSession, path: str, weights: dict[str, int], least: int = 5, look: int = 40) -> DataFrame:
-    """CSV whose header is one of the first rows: the first row with the highest sum of weights of
-    the names in it, row 0 if that is below `least`. Only these rows reach the driver; blank rows go."""
-    raw = spark.read.option("header", False).csv(path)
-    head = raw.limit(look).collect()
+    """One CSV file whose header is one of the first rows: the first row with the highest sum of weights
+    of the names in it, row 0 if that is below `least`. Only these rows reach the driver; the header and
+    the rows above it go by their place, equal rows below stay, blank rows go."""
+    # the first split's rows are numbered from 0 in the file's order
+    raw = spark.read.option("header", False).csv(path).withColumn("_place", F.monotonically_increasing_id())
+    head = raw.where(F.col("_place") < look).orderBy("_place").drop("_place").collect()
     score = [sum(weights.get((c or "").strip().lower(), 0) for c in r) for r in head]
     best = score.index(max(score)) if score and max(score) >= least else 0
     names, seen = [], {}
@@ -66,12 +68,8 @@ def read_csv_matrix(spark: SparkSession, path: str, weights: dict[str, int], lea
         name = (c or "").strip() or f"column_{i}"
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    above = [[(c or "") for c in r] for r in head[: best + 1]]
-    cells = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in raw.columns])
-    rows = raw.where(F.array_join(cells, "") != "")
-    for r in above:
-        rows = rows.where(cells != F.array(*map(F.lit, r)))
-    return rows.toDF(*names)
+    cells = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in raw.columns[:-1]])
+    return raw.where((F.array_join(cells, "") != "") & (F.col("_place") > best)).drop("_place").toDF(*names)
 
 
 def replace_source(rows: DataFrame, path: str, key: str) -> None:

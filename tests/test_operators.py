@@ -106,3 +106,10 @@ def test_citations_are_validated(spark):
     sources = spark.createDataFrame([("a", "the rates rose to seven percent", True), ("b", "rates rose to seven percent", False)], "source_id string, body string, eligible boolean")
     got = {r["answer_id"]: (r["claims"], r["cited"], r["unknown"], r["malformed"], r["supported"], r["valid"]) for r in trust.validate(claims, sources).collect()}
     assert got == {1: (3, 3, 1, 1, 1, False), 2: (1, 1, 0, 0, 1, True), 3: (1, 1, 1, 0, 0, False)}
+
+
+def test_as_of_takes_null_values_of_the_latest_version(spark):
+    versions = spark.createDataFrame([(1, 1, 20), (1, 3, None), (1, 8, 7)], "k int, since int, rate int")
+    facts = spark.createDataFrame([(1, 0), (1, 2), (1, 5), (1, 9), (2, 5)], "k int, at int")
+    got = temporal.as_of(facts, versions, ["k"], "at", "since", ["rate"]).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, 0, None), (1, 2, 20), (1, 5, None), (1, 9, 7), (2, 5, None)])

@@ -73,3 +73,9 @@ def test_chunk_query_covers_all_documents(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = {(r["doc_id"], i, hashlib.md5(c.encode()).hexdigest()) for r in docs for i, c in enumerate(packed([p.strip(" ") for p in (r["text"] or "").split("\n") if p.strip(" ")], 1800, 180))}
     assert {(r["doc_id"], r["chunk_no"], r["chunk_md5"]) for r in got.collect()} == want
+
+
+def test_csv_rows_equal_to_the_heading_stay(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Report,2024\nid,name\n1,a\nReport,2024\nid,name\n\n2,b\n")
+    got = files.read_csv_matrix(spark, str(tmp_path / "m.csv"), {"id": 5, "name": 3})
+    assert got.columns == ["id", "name"] and sorted(map(tuple, got.collect())) == sorted([("1", "a"), ("Report", "2024"), ("id", "name"), ("2", "b")])

@@ -1,4 +1,4 @@
-"""Queries that do the whole of a survey item whose first query is held to a part by its SQL."""
+"""Queries over whole tables against plain loops."""
 
 import random
 
@@ -35,8 +35,8 @@ def test_graph_queries_use_all_edges(spark, tmp_path):
             if k < 3:
                 best[n] = max(best.get(n, 0), (100.0, 62.0, 26.04)[k])
     assert max(k for _, _, k in want) == 3
-    assert {tuple(r) for r in Q["g04_reach_all_edges"](spark, d).select("seed", "node", "depth").collect()} == want
-    assert {r["node"]: r["score"] for r in Q["g05_decayed_all_edges"](spark, d).collect()} == best
+    assert {tuple(r) for r in Q["g04_reach_three_hops"](spark, d).select("seed", "node", "depth").collect()} == want
+    assert {r["node"]: r["score"] for r in Q["g05_decayed_expansion"](spark, d).collect()} == best
 
 
 def test_fusion_takes_the_full_lists(spark):
@@ -52,14 +52,14 @@ def test_fusion_takes_the_full_lists(spark):
 def test_candidates_reach_600(spark, tmp_path):
     docs = [(i, "alpha " * (1 + i % 3)) for i in range(700)]
     d = written(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(1, "alpha beta")], "item_id long, text string"))
-    got = Q["r11_candidates_600"](spark, d).collect()
+    got = Q["r11_candidates"](spark, d).collect()
     assert sorted((r["rank"], r["id"], r["matched"]) for r in got) == [(i + 1, i, 1) for i in range(600)]
 
 
 def test_outcome_reads_35000_characters_then_the_whole(spark, tmp_path):
     docs = [(1, "Token" + "x" * 4000), (2, "token" + "x" * 36000), (3, "token" + "x" * 36000 + "!!"), (4, "!!" + "x" * 36000), (5, "!!" + "x" * 34998), (6, None), (7, "!!token" + "x" * 36000)]
     d = written(spark, tmp_path, documents=(docs, "doc_id long, text string"))
-    got = {r["doc_id"]: r["outcome"] for r in Q["x33_outcome_tail_35000"](spark, d).collect()}
+    got = {r["doc_id"]: r["outcome"] for r in Q["x33_outcome_tail"](spark, d).collect()}
     assert got == {1: "secret", 2: "secret before", 3: "loud", 4: "loud before", 5: "loud", 6: "plain", 7: "secret before"}
 
 
