@@ -7,9 +7,14 @@ and a quantised log10 of the smoothed probability for each successor. Levels are
 query finds its context, then searches the successor inside that context's range.
 
 A trie is sharded by ranges of the context's hash. Contexts with a large share of all tokens are
-split over several shards by the successor's hash; their counts, of which there can be no more than
-twice the number of shards, are known before from the unigrams. Documents are gathered into blocks;
-a block asks a shard once for each distinct bigram, and training counts travel with the questions.
+split over several shards by the successor's hash: a block knows the counts of its own words from the
+unigrams, so every block deals a context alike and no list of hot ones is gathered. Documents are
+gathered into blocks; a block asks a shard once for each distinct bigram, and training counts travel
+with the questions. A message holds one bigram at least, so there are never more messages than distinct
+bigrams of the blocks.
+
+Two successors of one context share a code where 40 bits of their hashes agree: of n successors of a
+context about n * n / 2 ** 41 pairs, none among a million and 4,500 of a hundred million.
 
     P(w | v) = (c(v, w) + mu * P(w)) / (c(v) + mu),   P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
@@ -94,9 +99,9 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return tokens, np.repeat(unpack(row["held"], np.uint8) == 0, sizes), sizes, unpack_sorted(row["words"])
 
 
-def unigrams(blocks: DataFrame, shards: int, hot_from: int) -> DataFrame:
+def unigrams(blocks: DataFrame, shards: int) -> DataFrame:
     """shard, block, counts of the block's words in the shard; one row of each shard also has the
-    number of distinct training words and the words that occur hot_from times or more."""
+    number of distinct training words."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,45 +118,40 @@ def unigrams(blocks: DataFrame, shards: int, hot_from: int) -> DataFrame:
         distinct, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, np.concatenate([unpack(r["counts"], np.uint32) for r in rows]), len(distinct)).astype(np.uint64)
         ends = np.cumsum([len(w) for w in words])
-        hot = total >= max(1, hot_from)
-        more = [int((total > 0).sum()), pack_sorted(distinct[hot]), pack(total[hot])]
         n = len(rows) - 1
         return pa.table({
             "shard": group.column("shard"), "block": group.column("block"),
             "answer": pa.array([pack(total[place[e - len(w) : e]]) for w, e in zip(words, ends)], pa.binary()),
-            "distinct": pa.array([more[0]] + [None] * n, pa.int64()),
-            "hot": pa.array([more[1]] + [None] * n, pa.binary()), "hot_counts": pa.array([more[2]] + [None] * n, pa.binary()),
+            "distinct": pa.array([int((total > 0).sum())] + [None] * n, pa.int64()),
         })
 
     asked = blocks.mapInArrow(ask, "shard bigint, block bigint, words binary, counts binary")
-    return asked.groupBy("shard").applyInArrow(
-        answer, "shard bigint, block bigint, answer binary, distinct bigint, hot binary, hot_counts binary"
-    )
+    return asked.groupBy("shard").applyInArrow(answer, "shard bigint, block bigint, answer binary, distinct bigint")
+
+
+def own_counts(got: list[dict]) -> np.ndarray:
+    """Training counts of a block's words from the unigrams' answers."""
+    rows = sorted((r["shard"], r["answer"]) for r in got)
+    return np.concatenate([unpack(x, np.uint64) for _, x in rows] + [np.zeros(0, np.uint64)])
 
 
 class Dealer:
-    """The shard of a bigram: by its context, hot contexts over several shards by the successor."""
+    """The shard of a bigram: by its context, frequent contexts over several shards by the successor."""
 
-    def __init__(self, shards: int, hot: np.ndarray, hot_counts: np.ndarray, hot_from: int):
-        self.shards, self.hot, self.counts = shards, hot, hot_counts
-        self.spread = np.minimum(1 + hot_counts // np.uint64(max(1, hot_from)), np.uint64(shards)).astype(np.uint64)
+    def __init__(self, shards: int, hot_from: int):
+        self.shards, self.hot_from = shards, np.uint64(max(1, hot_from))
 
-    def hot_at(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hot):
-            return np.zeros(len(context), np.int64), np.zeros(len(context), bool)
-        at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
-        return at, self.hot[at] == context
+    def is_hot(self, count: np.ndarray) -> np.ndarray:
+        return count >= self.hot_from
 
-    def shard(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        s = shard_of(context, self.shards)
-        at, is_hot = self.hot_at(context)
-        if is_hot.any():
-            spread = self.spread[at[is_hot]]
-            s[is_hot] += (((successor[is_hot] >> np.uint64(32)) * spread) >> np.uint64(32)).astype(np.int64)
-        return s % self.shards
+    def shard(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """count: the context's."""
+        spread = np.minimum(np.uint64(1) + count // self.hot_from, np.uint64(self.shards))
+        away = ((successor >> np.uint64(32)) * spread) >> np.uint64(32)
+        return (shard_of(context, self.shards) + np.where(self.is_hot(count), away, 0).astype(np.int64)) % self.shards
 
 
-def block_bigrams(tokens: np.ndarray, words: np.ndarray, dealer: Dealer):
+def block_bigrams(tokens: np.ndarray, words: np.ndarray, counts: np.ndarray, dealer: Dealer):
     """Distinct bigrams of a block in the order in which shards are asked: context and successor
     (numbers), shard, and the place of each token's bigram."""
     before = np.empty_like(tokens)
@@ -159,7 +159,7 @@ def block_bigrams(tokens: np.ndarray, words: np.ndarray, dealer: Dealer):
     before[:1] = np.searchsorted(words, np.uint64(END))
     code, place = np.unique(before * len(words) + tokens, return_inverse=True)
     a, b = np.divmod(code, len(words))
-    shard = dealer.shard(words[a], words[b])
+    shard = dealer.shard(words[a], words[b], counts[a])
     order = np.argsort(shard, kind="stable")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
@@ -217,25 +217,23 @@ class BigramTrie:
         return out
 
 
-def bigrams(blocks: DataFrame, dealer: Dealer, mu: float) -> DataFrame:
+def bigrams(blocks: DataFrame, single: DataFrame, dealer: Dealer, mu: float) -> DataFrame:
     """shard, block, answer: the trie's code for each bigram that a block asked a shard for."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, train, _, words = _arrays(row)
-                a, b, shard, place = block_bigrams(tokens, words, dealer)
-                counts = np.bincount(place[train], minlength=len(a)).astype(np.uint32)
-                successor = words[b] >> np.uint64(64 - _SUCCESSOR_BITS)
-                rows = []
-                for s, i, j in slices(shard):
-                    begin = np.flatnonzero(np.diff(a[i:j], prepend=-1))
-                    fan = np.diff(begin, append=j - i).astype(np.uint32)
-                    rows.append((s, row["block"], pack_sorted(words[a[i:j][begin]]), pack(fan), pack(successor[i:j]), pack(counts[i:j])))
-                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "block", "contexts", "fan", "successors", "counts"]
-                )
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, rows = ("shard", "block", "contexts", "fan", "totals", "successors", "counts"), []
+        for row in left.to_pylist():
+            tokens, train, _, words = _arrays(row)
+            known = own_counts(right.to_pylist())
+            a, b, shard, place = block_bigrams(tokens, words, known, dealer)
+            counts = np.bincount(place[train], minlength=len(a)).astype(np.uint32)
+            successor, total = words[b] >> np.uint64(64 - _SUCCESSOR_BITS), np.where(dealer.is_hot(known), known, 0).astype(np.uint64)
+            for s, i, j in slices(shard):
+                begin = np.flatnonzero(np.diff(a[i:j], prepend=-1))
+                fan, some = np.diff(begin, append=j - i).astype(np.uint32), a[i:j][begin]
+                rows.append((s, row["block"], pack_sorted(words[some]), pack(fan), pack(total[some]), pack(successor[i:j]), pack(counts[i:j])))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -243,14 +241,16 @@ def bigrams(blocks: DataFrame, dealer: Dealer, mu: float) -> DataFrame:
         successor = [unpack(r["successors"], np.uint64) for r in rows]
         counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows])
         seen = counts > 0
+        given = np.concatenate([np.repeat(unpack(r["totals"], np.uint64), unpack(r["fan"], np.uint32)) for r in rows])[seen]
         known, number = np.unique(np.concatenate(context)[seen], return_inverse=True)
+        stated = np.zeros(len(known))  # a frequent context's successors are spread; its count came along
+        stated[number] = given
+        del given
         keys, place = np.unique((number.astype(np.uint64) << np.uint64(_SUCCESSOR_BITS)) | np.concatenate(successor)[seen], return_inverse=True)
         count = np.bincount(place, counts[seen], len(keys))
         number = (keys >> np.uint64(_SUCCESSOR_BITS)).astype(np.int64)
         total = np.bincount(number, count, len(known))
-        at, is_hot = dealer.hot_at(known)  # a hot context's successors are spread; its count is known
-        if len(dealer.hot):
-            total = np.where(is_hot, dealer.counts[at].astype(float), total)
+        total = np.where(stated > 0, stated, total)
         p = count / (total[number] + mu)
         code = np.clip(np.ceil(-np.log10(p) * STEPS), 1, 65535).astype(np.uint16)  # rounded down: no mass is added
         out = []
@@ -263,7 +263,9 @@ def bigrams(blocks: DataFrame, dealer: Dealer, mu: float) -> DataFrame:
             del trie
         return pa.table({"shard": group.column("shard"), "block": group.column("block"), "answer": pa.array(out, pa.binary())})
 
-    asked = blocks.mapInArrow(ask, "shard bigint, block bigint, contexts binary, fan binary, successors binary, counts binary")
+    asked = blocks.groupBy("block").cogroup(single.groupBy("block")).applyInArrow(
+        ask, "shard bigint, block bigint, contexts binary, fan binary, totals binary, successors binary, counts binary"
+    )
     return asked.groupBy("shard").applyInArrow(answer, "shard bigint, block bigint, answer binary")
 
 
@@ -274,25 +276,23 @@ def score(docs: DataFrame, mu: float = MU, folds: int = 5, fold: int = 1) -> Dat
     blocks = materialize(blocks, "token-blocks")
     n_words, n_tokens, n_train = [x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first()]
     shards = parts(n_tokens, BIGRAMS_A_SHARD)
-    hot_from = max(1, n_train // (2 * shards))  # at most 2 * shards contexts reach it
-    single = materialize(unigrams(blocks, parts(n_words, WORDS_A_SHARD), hot_from), "unigram-answers")
+    single = materialize(unigrams(blocks, parts(n_words, WORDS_A_SHARD)), "unigram-answers")
     distinct = single.agg(F.sum("distinct")).first()[0] or 0
-    hot = single.where("distinct is not null").select("hot", "hot_counts").collect() if shards > 1 else []
-    words = np.concatenate([unpack_sorted(r["hot"]) for r in hot] + [np.zeros(0, np.uint64)])
-    counts = np.concatenate([unpack(r["hot_counts"], np.uint64) for r in hot] + [np.zeros(0, np.uint64)])
-    order = np.argsort(words)
-    dealer = Dealer(shards, words[order], counts[order], hot_from)
-    double = bigrams(blocks, dealer, mu)
-    answers = single.select("block", F.lit(1).alias("n"), "shard", "answer").union(double.select("block", F.lit(2).alias("n"), "shard", "answer"))
+    dealer = Dealer(shards, n_train // (2 * shards) if shards > 1 else n_train + 1)
+    left = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "words")  # shuffled by block once for both uses
+    one = single.select("block", F.lit(1).alias("n"), "shard", "answer")
+    double = bigrams(left, one, dealer, mu)
+    answers = one.union(double.select("block", F.lit(2).alias("n"), "shard", "answer"))
     norm = np.log10(n_train + 0.5 * (distinct + 1))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
         tokens, train, sizes, words = _arrays(row)
-        got = sorted((r["n"], r["shard"], r["answer"]) for r in right.to_pylist())
-        count = np.concatenate([unpack(x, np.uint64) for n, _, x in got if n == 1]).astype(float)
-        code = np.concatenate([unpack(x, np.uint16) for n, _, x in got if n == 2])
-        a, b, _, place = block_bigrams(tokens, words, dealer)
+        got = right.to_pylist()
+        count = own_counts([r for r in got if r["n"] == 1])
+        code = np.concatenate([unpack(x, np.uint16) for _, x in sorted((r["shard"], r["answer"]) for r in got if r["n"] == 2)])
+        a, b, _, place = block_bigrams(tokens, words, count, dealer)
+        count = count.astype(float)
         base = np.log10(count + 0.5) - norm
         alpha = np.where(code > 0, 10.0 ** (code / -STEPS), 0.0)
         both = np.log10(alpha + mu / (count[a] + mu) * 10.0 ** base[b])
@@ -304,7 +304,6 @@ def score(docs: DataFrame, mu: float = MU, folds: int = 5, fold: int = 1) -> Dat
             "base_score": np.add.reduceat(base[tokens], starts), "score": np.add.reduceat(both[place], starts),
         })
 
-    left = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "words")
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
