@@ -38,7 +38,7 @@ SIZES = (512, 1024, 2048, 4096, 8192)
 END_ID = 0
 #: Cost of a bin of size c: a fixed part, its tokens, and attention's square.
 FIXED_COST, SQUARE_COST = 128.0, 1 / 65536
-BYTES_A_SHARD = 12 << 20  # of text; a token has one byte at least
+BYTES_A_SHARD = 4 << 20  # of text; a token has one byte at least
 
 
 def cost(size: int) -> float:
@@ -116,6 +116,7 @@ def pack(pieces: DataFrame, shards: int, sizes: tuple[int, ...] = SIZES) -> Data
     each = pieces.withColumn("shard", F.pmod(F.xxhash64("deal", "piece_start"), F.lit(shards)))
 
     def run(group: pa.Table) -> pa.Table:
+        library_memo.cache_clear()  # all items are encoded: a worker that encoded before needs its memo no more
         g = group.combine_chunks()
         flat, n = ids_of_lists(g.column("ids").combine_chunks())
         key = pa.table({"n": n, "doc_id": g.column("doc_id"), "start": g.column("piece_start"), "deal": g.column("deal")})
@@ -126,7 +127,7 @@ def pack(pieces: DataFrame, shards: int, sizes: tuple[int, ...] = SIZES) -> Data
         order, bins = order[turn], bins[turn]  # pieces bin by bin
         first = np.cumsum(n) - n
         size = n[order]
-        at = np.arange(size.sum()) + np.repeat(first[order] - (np.cumsum(size) - size), size)
+        at = np.arange(size.sum(), dtype=np.int32) + np.repeat((first[order] - (np.cumsum(size) - size)).astype(np.int32), size)
         fan = np.bincount(bins, minlength=len(final))
         ends = np.concatenate([[0], np.cumsum(fan)]).astype(np.int32)
         held = np.add.reduceat(size, ends[:-1])
