@@ -136,11 +136,13 @@ def bm25_all(spark: SparkSession, index: Index, questions: DataFrame) -> DataFra
     return _scored(index, *_bm25(spark, index, questions), None, "score").withColumnRenamed("score", "bm25")
 
 
-def cosine_top(spark: SparkSession, index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """qid, id, score (cosine of term frequencies), rank."""
+def cosine_top(spark: SparkSession, index: Index, questions: DataFrame, k: int, logarithmic: bool = False) -> DataFrame:
+    """qid, id, score (cosine of term frequencies), rank. Logarithmic: a document's count weighs 1 + ln(1 + tf)
+    over the plain norm, in per cent."""
+    weight = 100 * (1 + F.log1p("tf")) if logarithmic else F.col("tf")
     asked, terms = _numbered(spark, index, questions)
     each = questions.select("qid", F.explode(text.tokens(F.col("body"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("q"))
     norms = each.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
     weighed = index.read(spark, "postings").join(terms.select("token", "t"), "token").join(index.read(spark, "lengths").select("id", "norm"), "id")
     asked = asked.join(norms, "qid").select("qid", "t", (F.col("q") / F.col("qn")).alias("u"))
-    return _best(index, weighed.select("part", "id", "t", (F.col("tf") / F.col("norm")).alias("w")), asked, k, "score")
+    return _best(index, weighed.select("part", "id", "t", (weight / F.col("norm")).alias("w")), asked, k, "score")

@@ -67,11 +67,12 @@ def test_packed_chunks(spark, overlap):
     assert got == want
 
 
-def test_chunk_query_covers_all_documents(spark):
+@pytest.mark.parametrize("name, limit, overlap", [("x01_paragraph_chunks", 1800, 180), ("x03_fallback_chunks", 9000, 0)])
+def test_chunk_query_covers_all_documents(spark, name, limit, overlap):
     sf = "/root/testdata/sf0.001"
-    got = registry.queries()["x01_paragraph_chunks"](spark, sf)
+    got = registry.queries()[name](spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    want = {(r["doc_id"], i, hashlib.md5(c.encode()).hexdigest()) for r in docs for i, c in enumerate(packed([p.strip(" ") for p in (r["text"] or "").split("\n") if p.strip(" ")], 1800, 180))}
+    want = {(r["doc_id"], i, hashlib.md5(c.encode()).hexdigest()) for r in docs for i, c in enumerate(packed([p.strip(" ") for p in (r["text"] or "").split("\n") if p.strip(" ")], limit, overlap))}
     assert {(r["doc_id"], r["chunk_no"], r["chunk_md5"]) for r in got.collect()} == want
 
 
