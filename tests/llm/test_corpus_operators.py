@@ -175,4 +175,4 @@ def test_empty_tables(empty, f):
 
 
 def test_all_ten_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 11))
