@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import parts
+from .blocks import give_back, parts
 from .byte_bpe import library_memo
 from .shared import table, texts
 from .units import id_lists, ids_of_lists, with_end
@@ -116,7 +116,9 @@ def pack(pieces: DataFrame, shards: int, sizes: tuple[int, ...] = SIZES) -> Data
     each = pieces.withColumn("shard", F.pmod(F.xxhash64("deal", "piece_start"), F.lit(shards)))
 
     def run(group: pa.Table) -> pa.Table:
-        library_memo.cache_clear()  # all items are encoded: a worker that encoded before needs its memo no more
+        if library_memo.cache_info().currsize:  # all items are encoded: a worker that encoded before needs its memo no more
+            library_memo.cache_clear()
+            give_back()
         g = group.combine_chunks()
         flat, n = ids_of_lists(g.column("ids").combine_chunks())
         key = pa.table({"n": n, "doc_id": g.column("doc_id"), "start": g.column("piece_start"), "deal": g.column("deal")})

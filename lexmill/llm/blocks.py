@@ -7,7 +7,9 @@ hash, and bring the answers back to the block. Arrays are packed as byte planes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,19 @@ from pyspark import TaskContext
 BLOCK_BYTES = 12 << 20
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns what a Python worker no longer uses to the system: workers serve one stage after another, and
+    memory that a batch has left behind would count against the executor in the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array as compressed byte planes."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .backward_search import smallest_owner
-from .blocks import gathered_tables, pack, pack_sorted, parts, shard_of, slices, unpack, unpack_sorted, utf8
+from .blocks import gathered_tables, give_back, pack, pack_sorted, parts, shard_of, slices, unpack, unpack_sorted, utf8
 from .shared import materialize, table, texts
 
 LENGTH = 50
@@ -218,6 +218,7 @@ def smallest_ids(blocks: DataFrame, codes: DataFrame, shards: int, length: int)
                 some = own.order[i:j]
                 rows.append((s, row["block"], pack(own.windows[some]), pack(own.owner[some]), squeeze.compress(b"".join(own.parts[x] for x in some))))
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
+        give_back()
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def answer(group: pa.Table) -> pa.Table:
@@ -248,6 +249,8 @@ def smallest_ids(blocks: DataFrame, codes: DataFrame, shards: int, length: int)
         for p, c in zip(places, counts):
             begin = np.cumsum(c) - c
             out.append(pack(best[np.arange(c.sum()) + np.repeat(offset[p] - begin, c)]))
+        del best, text, ends, places
+        give_back()
         return pa.table({"shard": group.column("shard"), "block": group.column("block"), "answer": pa.array(out, pa.binary())})
 
     asked = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(

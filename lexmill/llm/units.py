@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .blocks import give_back
+
 #: A space and letters of ASCII and Latin-1 (two bytes from 0xC3): one piece of the pattern.
 PLAIN_WORD = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 SLICE_BYTES = 4 << 20
@@ -111,7 +113,7 @@ class Memo:
             some = part.tobytes() if self.added else b""
             yield (self._with_added if any(a in some for a in self.added) else self._plain)(part, reach)
             row, begin = stop, int(ends[stop - 1])
-        pa.default_memory_pool().release_unused()  # a worker's memory follows the batch at hand
+        give_back()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column's texts one after another, and how many each has."""
