@@ -29,7 +29,8 @@ def conflicts(rows: DataFrame, key: list[str], fields: list[str], order: Column)
     the order is kept; blanks never conflict."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
     long = rows.select(*key, order.alias("_o"), F.inline(each)).where("value is not null and value <> ''")
-    out = long.groupBy(*key, "field").agg(F.min_by("value", "_o").alias("kept"), F.array_sort(F.collect_set("value")).alias("all"))
+    once = long.groupBy(*key, "field", "value").agg(F.min("_o").alias("_o"))  # a value that a third of the rows share is one row
+    out = once.groupBy(*key, "field").agg(F.min_by("value", "_o").alias("kept"), F.array_sort(F.collect_list("value")).alias("all"))
     return out.where(F.size("all") > 1).select(*key, "field", "kept", F.array_join(F.array_remove("all", F.col("kept")), "|").alias("others"))
 
 
