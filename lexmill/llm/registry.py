@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import best_fit, byte_bpe, chat_collapse, media_archive, ngram_trie, quality_rules, secret_scan, simhash_mih, suffix_dedup, token_orc
+from . import (
+    best_fit, byte_bpe, chat_collapse, filter_diagram, line_dedup, media_archive, ngram_trie, quality_rules, secret_scan, simhash_mih, spelling,
+    suffix_dedup, token_orc,
+)
 
 
 def queries() -> dict:
@@ -18,8 +21,14 @@ def queries() -> dict:
         "op8_segment_tree_bpe": byte_bpe.op8_segment_tree_bpe,
         "op9_secret_spans": secret_scan.op9_secret_spans,
         "op10_simhash_groups": simhash_mih.op10_simhash_groups,
+        "op11_filter_audit": filter_diagram.op11_filter_audit,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_collapse": chat_collapse.ORACLE, "op7_quality_ledger": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS}
+    return {
+        "op5_chat_collapse": chat_collapse.ORACLE, "op7_quality_ledger": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS,
+        "op11_filter_audit": filter_diagram.ORACLE, "op13_line_dedup": line_dedup.ORACLE,
+    }
