@@ -10,16 +10,9 @@ from ..operators import hybrid
 from .base import query, spread, table
 from .text_queries import _TOKENS
 
-_SIGNAL_TEXT = """CASE o_orderkey % 4 WHEN 0 THEN 'see PMK Nomor ' || (o_orderkey % 300) || ' Tahun ' || year(o_orderdate) || ' and UU ' || (o_orderkey % 40) || '/' || year(o_orderdate)
- WHEN 1 THEN (o_orderkey % 900) || '/KMK.014/' || year(o_orderdate) WHEN 2 THEN 'PER No. ' || (o_orderkey % 50) || ' PJ 7 ' || year(o_orderdate) ELSE 'Order ' || o_orderkey || ' of ' || year(o_orderdate) END"""
-
-
-@query("r03_citation_signals", f"""WITH t AS (SELECT o_orderkey, trim(regexp_replace(lower({_SIGNAL_TEXT}), '[^a-z0-9]+', ' ', 'g')) AS t FROM orders),
-v AS (SELECT o_orderkey, t, regexp_extract_all(t, '\\b([0-9]{{1,4}})\\s+(uu|perpu|pp|perpres|pmk|kmk|kep|per|se)\\s+[0-9]{{1,3}}\\s+((?:19|20)[0-9]{{2}})\\b') AS back,
- regexp_extract_all(t, '\\b(uu|perpu|pp|perpres|pmk|kmk|kep|per|se)\\s*(?:nomor|no)?\\s*([0-9]+)(?:\\s+(?:pmk|pj)(?:\\s+[0-9]{{1,3}}\\b)?)?\\s*(?:(?:tahun|th)\\s*)?((?:19|20)[0-9]{{2}})\\b') AS fore FROM t),
-s AS (SELECT o_orderkey, CASE WHEN len(back) > 0 THEN list_transform(back, lambda m: regexp_replace(m, '^0*([0-9]+)\\s+([a-z]+)\\s+[0-9]+\\s+([0-9]+)$', '\\2-\\1-\\3'))
- ELSE list_transform(fore, lambda m: regexp_replace(m, '^([a-z]+?)\\s*(?:nomor|no)?\\s*0*([0-9]+)(?:\\s+(?:pmk|pj)(?:\\s+[0-9]{{1,3}}\\b)?)?\\s*(?:(?:tahun|th)\\s*)?((?:19|20)[0-9]{{2}})$', '\\1-\\2-\\3')) END AS signals FROM v)
-SELECT o_orderkey, array_to_string(list_sort(list_distinct(signals)), ' ') AS signals FROM s""")
+@query("r03_citation_signals", """WITH k AS (SELECT o_orderkey, o_orderkey % 4 AS form, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders)
+SELECT o_orderkey, CASE form WHEN 0 THEN 'pmk-' || (o_orderkey % 300) || '-' || y || ' uu-' || (o_orderkey % 40) || '-' || y
+ WHEN 1 THEN 'kmk-' || (o_orderkey % 900) || '-' || y WHEN 2 THEN 'per-' || (o_orderkey % 50) || '-' || y ELSE '' END AS signals FROM k""")
 def r03_signals(spark, d):
     """Type, number and year of every citation in a text; where the legacy order stands, it alone counts."""
     k, y = F.col("o_orderkey"), F.year("o_orderdate").cast("string")

@@ -33,6 +33,9 @@ def test_citation_signals(spark):
     for text, want in (
         ("PMK Nomor 007 Tahun 2010 dan UU 8/1983", ["pmk-7-2010", "uu-8-1983"]), ("132/KMK.014/2000 and PMK 5 2001", ["kmk-132-2000"]),
         ("PER-17/PJ/2015", ["per-17-2015"]), ("SE 4 PJ 9 1999", ["se-4-1999"]), ("chapter 5 1999", []), (None, []),
+        ("UU Nomor 8 Tahun 1983 PPN", ["uu-8-1983"]), ("PMK No. 141/PMK.03/2015", ["pmk-141-2015"]), ("SE-23/PJ.52/1995", ["se-23-1995"]),
+        ("uu nomor dan tahun 1983", []), ("superpmk 5 2001", []), ("PMK12/2010, PMK12/2010", ["pmk-2010-2010"]), ("PMK12/2010", ["pmk-12-2010"]), ("pp 55 tahun 22", []),
+        ("uu uu 7 th 2021", ["uu-7-2021"]), ("pp 5 pmk nomor 6 tahun 2020", ["pmk-6-2020"]), ("KEP 1990 2000", ["kep-1990-2000"]), ("pmk 000/2001", ["pmk-0-2001"]),
     ):
         assert one(spark, citations.signals(F.lit(text).cast("string"))) == want, text
 
