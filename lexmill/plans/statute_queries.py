@@ -11,13 +11,14 @@ _EFFECT = "Peraturan ini mulai berlaku pada tanggal diundangkan."
 
 
 @query("x05_statute_units", f"""WITH o AS (SELECT o_orderkey AS k, year(o_orderdate) AS y, o_orderpriority AS p FROM orders),
-l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, l_linestatus AS a, l_returnflag AS b FROM lineitem JOIN o ON k = l_orderkey),
+l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, l_linestatus AS a, l_returnflag AS b,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(CAST(l_quantity AS INT) AS VARCHAR) || chr(10), l_linestatus, l_returnflag) AS i FROM lineitem JOIN o ON k = l_orderkey),
 u AS (SELECT k, 0 AS pos, 'kepala' AS section, 'kepala' AS path, 'kepala' AS id, 'UNDANG-UNDANG NOMOR ' || k || ' TAHUN ' || y AS text FROM o
  UNION ALL SELECT k, 1, 'menimbang', 'menimbang', 'menimbang', 'bahwa ' || p FROM o UNION ALL SELECT k, 2, 'mengingat', 'angka 1', 'mengingat-angka-1', 'Pasal 5 UUD' FROM o
- UNION ALL SELECT k, 10 * n, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (1)', 'pasal-' || n || '-ayat-1', 'jumlah ' || q || ' Pasal C' FROM l
- UNION ALL SELECT k, 10 * n + 1, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (2)', 'pasal-' || n || '-ayat-2', 'cara:' FROM l
- UNION ALL SELECT k, 10 * n + 2, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (2) > huruf a', 'pasal-' || n || '-ayat-2-huruf-a', a FROM l
- UNION ALL SELECT k, 10 * n + 3, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (2) > huruf b', 'pasal-' || n || '-ayat-2-huruf-b', b FROM l
+ UNION ALL SELECT k, 10 * i, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (1)', 'pasal-' || n || '-ayat-1', 'jumlah ' || q || ' Pasal C' FROM l
+ UNION ALL SELECT k, 10 * i + 1, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (2)', 'pasal-' || n || '-ayat-2', 'cara:' FROM l
+ UNION ALL SELECT k, 10 * i + 2, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (2) > huruf a', 'pasal-' || n || '-ayat-2-huruf-a', a FROM l
+ UNION ALL SELECT k, 10 * i + 3, 'batang_tubuh', 'BAB I KETENTUAN > Pasal ' || n || ' > ayat (2) > huruf b', 'pasal-' || n || '-ayat-2-huruf-b', b FROM l
  UNION ALL SELECT k, 1000, 'penutup', 'BAB I KETENTUAN > Pasal 99', 'penutup-pasal-99', '{_EFFECT}' FROM o
  UNION ALL SELECT k, 1001, 'penjelasan', 'BAB I KETENTUAN > Pasal 1', 'penjelasan-pasal-1', 'Cukup jelas.' FROM o)
 SELECT k AS o_orderkey, CAST(row_number() OVER (PARTITION BY k ORDER BY pos) AS INT) AS seq, section, path, k || '#' || id AS unit_id, text FROM u""")
