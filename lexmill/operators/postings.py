@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.files import scratch
+from ..sources.files import scratch, settle
 from . import ranking
 
 DOCS_A_PART, QUESTIONS_A_BLOCK = 4_000, 256
@@ -103,18 +103,21 @@ def _scored(index: Index, weighed: DataFrame, asked: DataFrame, k: int | None, b
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(score, "qid long, id long, score double, matched long")
 
 
-def _best(index: Index, weighed: DataFrame, asked: DataFrame, k: int, by: str) -> DataFrame:
+def best(index: Index, weighed: DataFrame, asked: DataFrame, k: int, by: str) -> DataFrame:
     scored = _scored(index, weighed, asked, k, by)
     return ranking.top(scored.withColumn("_by", F.round("score", 6) if by == "score" else F.col(by)), "_by", k).drop("_by")
 
 
+def settle_terms(terms: DataFrame) -> DataFrame:
+    """The terms with a number t each, written so that the number stays."""
+    return settle(terms.withColumn("t", F.monotonically_increasing_id()), "terms")
+
+
 def _numbered(spark: SparkSession, index: Index, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """asked (qid, t, q), and terms (token, t, df, cf, max_tf) of the questions' tokens that the index has."""
     each = questions.select("qid", F.explode(text.tokens(F.col("body"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("q"))
     terms = index.read(spark, "tokens").join(each.select("token").distinct(), "token")
-    path = scratch(spark, "terms")
-    terms.withColumn("t", F.monotonically_increasing_id()).write.parquet(path)  # written, so that a number stays
-    terms = spark.read.parquet(path)
+    terms = settle_terms(terms)
     return each.join(terms.select("token", "t"), "token").select("qid", "t", "q"), terms
 
 
@@ -128,7 +131,7 @@ def _bm25(spark: SparkSession, index: Index, questions: DataFrame) -> tuple[Data
 
 def bm25_top(spark: SparkSession, index: Index, questions: DataFrame, k: int, by: str = "score") -> DataFrame:
     """qid, id, bm25, matched, rank of questions (qid, body); by score or by the number of matched terms."""
-    return _best(index, *_bm25(spark, index, questions), k, by).withColumnRenamed("score", "bm25")
+    return best(index, *_bm25(spark, index, questions), k, by).withColumnRenamed("score", "bm25")
 
 
 def bm25_all(spark: SparkSession, index: Index, questions: DataFrame) -> DataFrame:
@@ -145,4 +148,4 @@ def cosine_top(spark: SparkSession, index: Index, questions: DataFrame, k: int,
     norms = each.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
     weighed = index.read(spark, "postings").join(terms.select("token", "t"), "token").join(index.read(spark, "lengths").select("id", "norm"), "id")
     asked = asked.join(norms, "qid").select("qid", "t", (F.col("q") / F.col("qn")).alias("u"))
-    return _best(index, weighed.select("part", "id", "t", (weight / F.col("norm")).alias("w")), asked, k, "score")
+    return best(index, weighed.select("part", "id", "t", (weight / F.col("norm")).alias("w")), asked, k, "score")
