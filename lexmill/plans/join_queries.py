@@ -112,11 +112,11 @@ def j22(spark, d):
 
 
 @query("j23_token_overlap", f"""WITH b AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS token FROM benchmark), c AS (SELECT DISTINCT conv_id, unnest({_TOKENS}) AS token FROM conversations WHERE role = 'user')
-SELECT conv_id, item_id, count(*) AS shared FROM c JOIN b USING (token) WHERE length(token) >= 9 GROUP BY ALL""")
+SELECT conv_id, item_id, count(*) AS shared FROM c JOIN b USING (token) WHERE length(token) > 3 GROUP BY ALL""")
 def j23(spark, d):
-    """Texts that share a long word: an equal join on distinct words in place of a loop over all pairs."""
+    """Texts that share a word of over three characters: an equal join on distinct words in place of a loop over all pairs."""
     def rows(df, key):
-        return df.select(key, F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("token")).where(F.length("token") >= 9)
+        return df.select(key, F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("token")).where(F.length("token") > 3)
 
     c = rows(table(spark, d, "conversations").where("role = 'user'"), "conv_id").distinct()
     return c.join(rows(table(spark, d, "benchmark"), "item_id"), "token").groupBy("conv_id", "item_id").agg(F.count("*").alias("shared"))

@@ -145,13 +145,13 @@ def t07(spark, d):
     return table(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 500").select("event_type", "event_id")
 
 
-@query("t09_impact_feed", f"""WITH a AS (SELECT DISTINCT conv_id, unnest({_TOKENS}) AS token FROM conversations WHERE turn = 0), e AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS token FROM benchmark),
-m AS (SELECT conv_id, item_id, count(*) AS shared FROM a JOIN e USING (token) WHERE length(token) >= 8 GROUP BY ALL)
+@query("t09_impact_feed", f"""WITH a AS (SELECT DISTINCT conv_id, unnest({_TOKENS}) AS token FROM conversations), e AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS token FROM benchmark),
+m AS (SELECT conv_id, item_id, count(*) AS shared FROM a JOIN e USING (token) WHERE length(token) > 3 GROUP BY ALL)
 SELECT conv_id, item_id, shared, CASE WHEN shared >= 2 THEN 'critical' ELSE 'notice' END AS level FROM m""")
 def t09(spark, d):
-    """Alerts that share long words with the evidence at hand."""
-    words = lambda df, k: df.select(k, F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("token")).where(F.length("token") >= 8).distinct()
-    m = words(table(spark, d, "conversations").where("turn = 0"), "conv_id").join(words(table(spark, d, "benchmark"), "item_id"), "token").groupBy("conv_id", "item_id").agg(F.count("*").alias("shared"))
+    """Alerts, whole conversations, that share words of over three characters with the evidence at hand."""
+    words = lambda df, k: df.select(k, F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("token")).where(F.length("token") > 3).distinct()
+    m = words(table(spark, d, "conversations"), "conv_id").join(words(table(spark, d, "benchmark"), "item_id"), "token").groupBy("conv_id", "item_id").agg(F.count("*").alias("shared"))
     return m.withColumn("level", F.when(F.col("shared") >= 2, "critical").otherwise("notice"))
 
 
@@ -436,15 +436,15 @@ def y60(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(F.col("p_brand").rlike("^[A-Za-z0-9#]+$"), F.concat(F.lit("[["), "p_brand", F.lit("]]"))).alias("marker"))
 
 
-@query("r07_overlap_score", f"""WITH b AS (SELECT item_id, list_distinct({_TOKENS}) AS ts FROM benchmark), c AS (SELECT conv_id, turn, list_distinct({_TOKENS}) AS ts FROM conversations WHERE turn = 0),
-s AS (SELECT item_id, conv_id, len(list_intersect(b.ts, c.ts)) AS k, len(b.ts) AS nb, len(c.ts) AS nc FROM b, c)
-SELECT item_id, conv_id, round(0.45 * k / (nb + nc - k) + 0.55 * k / nb, 6) AS score FROM s WHERE k > 0""")
+@query("r07_overlap_score", f"""WITH b AS (SELECT item_id, list_distinct({_TOKENS}) AS ts FROM benchmark), c AS (SELECT conv_id, turn, list_distinct({_TOKENS}) AS ts FROM conversations),
+s AS (SELECT item_id, conv_id, turn, len(list_intersect(b.ts, c.ts)) AS k, len(b.ts) AS nb, len(c.ts) AS nc FROM b, c)
+SELECT item_id, conv_id, turn, round(0.45 * k / (nb + nc - k) + 0.55 * k / nb, 6) AS score FROM s WHERE k > 0""")
 def r07(spark, d):
     """0.45 of the Jaccard similarity and 0.55 of the question's coverage, from shared words joined on equality."""
-    rows = lambda df, k: df.select(k, F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("ts")).select(k, F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    b, c = rows(table(spark, d, "benchmark"), "item_id").withColumnRenamed("n", "nb"), rows(table(spark, d, "conversations").where("turn = 0"), "conv_id").withColumnRenamed("n", "nc")
-    k = b.join(c, "token").groupBy("item_id", "conv_id", "nb", "nc").agg(F.count("*").alias("k"))
-    return k.select("item_id", "conv_id", F.round(0.45 * F.col("k") / (F.col("nb") + F.col("nc") - F.col("k")) + 0.55 * F.col("k") / F.col("nb"), 6).alias("score"))
+    rows = lambda df, *k: df.select(*k, F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("ts")).select(*k, F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    b, c = rows(table(spark, d, "benchmark"), "item_id").withColumnRenamed("n", "nb"), rows(table(spark, d, "conversations"), "conv_id", "turn").withColumnRenamed("n", "nc")
+    k = b.join(c, "token").groupBy("item_id", "conv_id", "turn", "nb", "nc").agg(F.count("*").alias("k"))
+    return k.select("item_id", "conv_id", "turn", F.round(0.45 * F.col("k") / (F.col("nb") + F.col("nc") - F.col("k")) + 0.55 * F.col("k") / F.col("nb"), 6).alias("score"))
 
 
 @query("r31_section_snippet", f"""SELECT doc_id, md5(CASE WHEN position('license' IN lower(text)) > 0 THEN substring(text, position('license' IN lower(text)), 200) WHEN position('than' IN lower(text)) > 0 THEN substring(text, greatest(1, position('than' IN lower(text)) - 160), 200) ELSE left(text, 200) END) AS snippet FROM {_D}""")
