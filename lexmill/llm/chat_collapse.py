@@ -53,6 +53,17 @@ def maximal(turns: DataFrame) -> DataFrame:
     )
 
 
+def links(turns: DataFrame) -> DataFrame:
+    """conv_id, kept_id: for every conversation the maximal one that it is a prefix of or equal to; of several the
+    longest, then the smallest id. A prefix that many conversations share is one row before it is joined."""
+    p = prefix_hashes(turns)
+    kept = maximal(turns).select(F.struct("conv_id").alias("key"))
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("key.conv_id").alias("kept_id"))).alias("best")
+    ends = p.join(kept, "key", "left_semi").groupBy("place", "h1", "h2").agg(best)
+    whole = p.where("place = n").select("key", "place", "h1", "h2")
+    return whole.join(ends, ["place", "h1", "h2"]).select("key.conv_id", F.col("best.kept_id").alias("kept_id"))
+
+
 def render(turns: DataFrame, chosen: DataFrame) -> DataFrame:
     """The chosen conversations as one chat-markup text each."""
     t = keyed(turns).join(chosen.select(F.struct("conv_id").alias("key"), "n_turns", "n_copies"), "key")
@@ -73,13 +84,23 @@ def op5_chat_collapse(spark, sf_dir: str) -> DataFrame:
     return collapse(table(spark, sf_dir, "conversations"))
 
 
-ORACLE = """
+def chat_snapshot_links(spark, sf_dir: str) -> DataFrame:
+    """Which maximal conversation each one is kept in."""
+    return links(table(spark, sf_dir, "conversations"))
+
+
+_PREFIXES = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
   '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS piece FROM t),
 p AS (SELECT conv_id, place, count(*) OVER (PARTITION BY conv_id) AS n,
   string_agg(piece, '' ORDER BY place) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS prefix FROM o),
 w AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, n, prefix FROM p WHERE place = n GROUP BY n, prefix)
-SELECT conv_id, n AS n_turns, n_copies, prefix AS rendered, length(prefix) AS n_chars FROM w
+"""
+ORACLE = f"""{_PREFIXES}SELECT conv_id, n AS n_turns, n_copies, prefix AS rendered, length(prefix) AS n_chars FROM w
 WHERE prefix NOT IN (SELECT prefix FROM p WHERE place < n)
 """
+LINKS = f"""{_PREFIXES}, m AS (SELECT conv_id, n FROM w WHERE prefix NOT IN (SELECT prefix FROM p WHERE place < n)),
+b AS (SELECT prefix, arg_min(conv_id, (-n, conv_id)) AS kept_id FROM (SELECT p.prefix, m.conv_id, m.n FROM p JOIN m ON m.conv_id = p.conv_id) GROUP BY prefix)
+SELECT p.conv_id, kept_id FROM p JOIN b USING (prefix) WHERE place = n
+"""

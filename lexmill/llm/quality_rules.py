@@ -11,7 +11,7 @@ each get their row; an empty table gives an empty ledger; columns besides id and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import WORD_GAP, materialize, table, texts
@@ -136,6 +136,21 @@ def stored(docs: DataFrame) -> DataFrame:
     return materialize(ledger(docs), "quality-ledger")
 
 
+def write_ledger(docs: DataFrame, path: str) -> None:
+    """The ledger in a folder of its own, with the names of the rules in the order of their bits: later sessions
+    apply policies and ablations to it without the texts."""
+    ledger(docs).withColumn("rules", F.lit(",".join(RULES))).write.parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; refused where its bits stand for other rules than these."""
+    rows = spark.read.parquet(path)
+    other = rows.where(F.col("rules") != ",".join(RULES)).select("rules").first()
+    if other:
+        raise ValueError(f"the ledger in {path} has the rules {other['rules']}")
+    return rows.drop("rules")
+
+
 def apply_policy(rows: DataFrame, version: str) -> DataFrame:
     """Adds `kept` by the version's mask."""
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES[version])).cast("long")) == 0)

@@ -15,6 +15,7 @@ def queries() -> dict:
         "op3_token_orc": token_orc.op3_token_orc,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_chat_collapse": chat_collapse.op5_chat_collapse,
+        "chat_snapshot_links": chat_collapse.chat_snapshot_links,
         "op6_best_fit_packing": best_fit.op6_best_fit_packing,
         "op7_quality_ledger": quality_rules.op7_quality_ledger,
         "rule_ablations": quality_rules.rule_ablations,
@@ -29,6 +30,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op5_chat_collapse": chat_collapse.ORACLE, "op7_quality_ledger": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS,
+        "op5_chat_collapse": chat_collapse.ORACLE, "chat_snapshot_links": chat_collapse.LINKS, "op7_quality_ledger": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS,
         "op11_filter_audit": filter_diagram.ORACLE, "op13_line_dedup": line_dedup.ORACLE,
     }

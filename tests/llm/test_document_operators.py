@@ -195,6 +195,9 @@ def test_chat_snapshots(spark):
     got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"]) for r in chat_collapse.collapse(df).collect()}
     assert set(got) == {3, 5, 6, 7, None} and got[3][:2] == (3, 2)
     assert got[3][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
+    kept = {r["conv_id"]: r["kept_id"] for r in chat_collapse.links(df).collect()}
+    assert set(kept) == {r["conv_id"] for r in df.collect()} and set(kept.values()) == set(got) and all(kept[i] == i for i in got)
+    assert chat_collapse.links(df.limit(0)).collect() == []
     assert chat_collapse.collapse(df.limit(0)).collect() == []
 
 
@@ -329,3 +332,14 @@ def test_secret_query_values(spark, odd, tmp_path):
         got.setdefault(r["doc_id"], []).append((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], base))
         assert r["n_random"] == r["spans"].count("random:")
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(r["n_random"] for r in rows)
+
+
+def test_a_stored_ledger_is_read_again(spark, odd, monkeypatch):
+    path = fresh_dir(spark, "ledger")
+    quality_rules.write_ledger(odd, path)
+    read = quality_rules.read_ledger(spark, path)
+    one, two = (sorted(map(str, quality_rules.apply_policy(x, "v1").collect())) for x in (read, quality_rules.ledger(odd)))
+    assert one == two
+    monkeypatch.setattr(quality_rules, "RULES", quality_rules.RULES[1:])
+    with pytest.raises(ValueError, match="rules"):
+        quality_rules.read_ledger(spark, path)
