@@ -1,9 +1,10 @@
 """Hybrid search of many questions against all documents.
 
-A question that cites documents ranks those alone; the others rank all that the tenant sees. Term rows are
-joined on the token; only pairs that share a token, or whose vectors lie near, are formed. A pair that does
-neither cannot be a hit, and its place in the lexical order follows from its id alone: it stands behind all
-pairs that match. Places are counted in bands of the score, so that no question's rows are one task.
+A question that cites documents ranks those alone, in joins over the cited pairs. The others rank all that
+the tenant sees, from a stored index: a pair behind place REACH in both orders cannot score LEAST, so the
+candidates are the first REACH by terms, the first REACH by vectors, and the pairs of which one names the
+other. What a candidate lacks, its place in the other order, is counted part by part; all pairs are never
+formed, and no question's pairs are one task.
 
 documents: id, record, citation, title, body, visibility, owner, embedding and further columns;
 questions: qid, text, vector.
@@ -14,18 +15,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import citations
+from ..functions import citations, scores
 from ..functions import text as T
 from ..sources.files import settle
-from . import filters, ranking
+from . import filters, postings, ranking, rule_tables
 
 NEAR, LEAST = 0.55, 8.0
+REACH = 703  # 6100 / (RRF_K + REACH + 1) is below LEAST
+
+
+def seen(docs: DataFrame, tenant: str) -> DataFrame:
+    """The documents with a text that a tenant sees, with their normalised name."""
+    rows = docs.where((F.coalesce("body", F.lit("")) != "") & filters.visible(F.col("visibility"), F.col("owner"), tenant))
+    return rows.withColumn("name", T.normalise(F.concat_ws(" ", "title", "citation")))
 
 
 def admitted(docs: DataFrame, tenant: str) -> DataFrame:
-    seen = docs.where((F.coalesce("body", F.lit("")) != "") & filters.visible(F.col("visibility"), F.col("owner"), tenant))
-    name = F.concat_ws(" ", "title", "citation")
-    return seen.withColumn("ts", T.tokens(F.concat_ws(" ", "title", "citation", "body"))).withColumn("name", T.normalise(name)).drop("body")
+    return seen(docs, tenant).withColumn("ts", T.tokens(F.concat_ws(" ", "title", "citation", "body"))).drop("body")
 
 
 def terms_of(questions: DataFrame) -> DataFrame:
@@ -60,45 +66,85 @@ def lexical(docs: DataFrame, q: DataFrame, sizes: DataFrame, hits: DataFrame) ->
     return m.join(df, ["qid", "token"]).groupBy("qid", "id").agg(F.sum(idf * part).alias("bm25"), F.count("*").alias("matched"))
 
 
-def search(docs: DataFrame, questions: DataFrame, tenant: str) -> DataFrame:
+def corpus_index(spark, sf_dir: str, docs: DataFrame, tenant: str) -> postings.Index:
+    """The session's stored index of what a tenant sees: title, citation and body together."""
+    return postings.kept_index(spark, sf_dir, f"seen by {tenant}", seen(docs, tenant).select("id", F.concat_ws(" ", "title", "citation", "body").alias("body")))
+
+
+def naming(docs: DataFrame, q: DataFrame) -> DataFrame:
+    """qid, id of the pairs of which the question names the document or its name holds the question."""
+    one = rule_tables.phrase_hits(q, "qid", "said", docs, "name").join(docs.select("id", F.col("name").alias("phrase")), "phrase").select("qid", "id")
+    two = rule_tables.phrase_hits(docs, "id", "name", q, "said").join(q.select("qid", F.col("said").alias("phrase")), "phrase").select("qid", "id")
+    return one.unionByName(two).distinct()
+
+
+def _cosine():
+    return F.round(scores.cosine(F.col("embedding"), F.col("vector")), 9)
+
+
+def _open_pairs(docs: DataFrame, q: DataFrame, index: postings.Index, named: DataFrame) -> DataFrame:
+    """qid, id, lex, rl, sem, rs of all candidates of the questions that cite nothing."""
+    spark = docs.sparkSession
+    weighed, asked = postings.bm25_weights(spark, index, q.select("qid", F.array_join("asked", " ").alias("body")))
+    weighed = settle(weighed, "weighed")
+    asked = settle(asked.join(q.select("qid", F.size("asked").alias("n")), "qid").select("qid", "t", "u", "n"), "asked")
+    vectors = docs.where("embedding IS NOT NULL").select("id", F.col("embedding").alias("v"))
+    asks = q.where("vector IS NOT NULL").select("qid", F.col("vector").alias("v"))
+    near = settle(ranking.dense_top(vectors, asks, REACH).select("qid", "id", F.col("cosine").alias("sem"), F.col("rank").alias("rs")), "dense")
+    probes = near.select("qid", "id").union(named.join(q.select("qid"), "qid", "left_semi")).distinct()
+    graded = settle(postings.graded(index, weighed, asked, probes, REACH), "graded")
+    first = graded.withColumn("rl", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("lex"), "id"))).where(F.col("rl") <= REACH)
+    first = settle(first.select("qid", "id", F.col("rl").cast("long")), "lexical")
+    pairs = probes.union(first.select("qid", "id")).distinct().join(graded, ["qid", "id"], "left").join(first, ["qid", "id"], "left").join(near, ["qid", "id"], "left")
+    pairs = pairs.withColumn("lex", F.coalesce("lex", F.lit(0.0))).join(docs.select("id", "embedding"), "id").join(q.select("qid", "vector"), "qid")
+    pairs = settle(pairs.withColumn("sem", F.coalesce("sem", _cosine())).drop("embedding", "vector"), "candidates")
+    behind = pairs.where("rl IS NULL").select("qid", "id", "lex")
+    by_id = ranking.places(docs.select(F.lit(0).alias("k"), "id", (-F.col("id")).alias("by")), ["k"], "by", "id", 4096.0).select("id", F.col("rank").alias("by_id"))
+    ahead = postings.graded(index, weighed, asked, behind, None).groupBy("qid", "id").agg(F.sum("ahead").alias("ahead"))
+    lexical_ = behind.join(ahead, ["qid", "id"], "left").join(by_id, "id")
+    lexical_ = lexical_.select("qid", "id", (F.coalesce("ahead", F.lit(0)) + F.when(F.col("lex") > 0, 1).otherwise(F.col("by_id"))).alias("rl_behind"))
+    far = pairs.where("rs IS NULL AND sem IS NOT NULL").select("qid", "id", F.col("sem").alias("cosine"))
+    dense = ranking.dense_places(vectors, asks, far).select("qid", "id", (F.col("ahead") + 1).alias("rs_behind"))
+    pairs = pairs.join(lexical_, ["qid", "id"], "left").join(dense, ["qid", "id"], "left")
+    return pairs.select("qid", "id", "lex", F.coalesce("rl", "rl_behind").alias("rl"), "sem", F.coalesce(F.col("rs").cast("long"), "rs_behind").alias("rs"))
+
+
+def _cited_pairs(docs: DataFrame, q: DataFrame, hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same of all cited pairs: few documents for each question."""
+    some = docs.join(hits.select("id").distinct(), "id", "left_semi").withColumn("ts", T.tokens(F.concat_ws(" ", "title", "citation", "body")))
+    each = lexical(some, q, sizes, hits).join(q.select("qid", "asked"), "qid")
+    lex = F.least(F.lit(1.0), F.col("bm25") / F.greatest(F.lit(2.0), 1.7 * F.size("asked"))) * 0.7 + 0.3 * F.col("matched") / F.size("asked")
+    each = each.select("qid", "id", F.round(lex, 9).alias("lex"))
+    pairs = hits.join(q.select("qid", "vector"), "qid").join(docs.select("id", "embedding"), "id").withColumn("sem", _cosine())
+    pairs = pairs.select("qid", "id", "sem").join(each, ["qid", "id"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
+    pairs = ranking.places(settle(pairs, "cited-pairs"), ["qid"], "lex", "id", 0.02).withColumnRenamed("rank", "rl")
+    by_sem = ranking.places(pairs.where("sem IS NOT NULL").select("qid", "id", "sem"), ["qid"], "sem", "id", 0.02).select("qid", "id", F.col("rank").alias("rs"))
+    return pairs.join(by_sem, ["qid", "id"], "left").select("qid", "id", "lex", F.col("rl").cast("long").alias("rl"), "sem", F.col("rs").cast("long").alias("rs"))
+
+
+def search(docs: DataFrame, questions: DataFrame, tenant: str, index: postings.Index) -> DataFrame:
     """qid, id, score, lex, sem, hit and the documents' further columns of all relevant pairs, one for each record."""
-    docs = settle(admitted(docs, tenant), "search-documents")
+    docs = settle(seen(docs, tenant), "search-documents")
     q = settle(terms_of(questions), "questions")
-    hits, sizes = settle(cited(docs, q), "cited"), settle(pool_sizes(docs, q), "pools")
-    lex = F.least(F.lit(1.0), F.col("bm25") / F.greatest(F.lit(2.0), 1.7 * F.size("asked"))) * 0.7 + 0.3 * F.col("matched") / F.size("asked")
-    one = lexical(docs, q, sizes, hits).join(q.select("qid", "asked"), "qid").select("qid", "id", F.round(lex, 9).alias("lex"))
-    vectors = docs.where("embedding IS NOT NULL").select("id", F.col("embedding").alias("v"))
-    two = ranking.dense_all(vectors, q.where("vector IS NOT NULL").select("qid", F.col("vector").alias("v")))
-    two = two.join(sizes.select("qid", "restricted"), "qid").join(hits.withColumn("hit", F.lit(True)), ["qid", "id"], "left").where("hit OR NOT restricted")
-    two = settle(ranking.places(two.select("qid", "id", F.round("cosine", 9).alias("sem")), ["qid"], "sem", "id", 0.02).withColumnRenamed("rank", "rs"), "dense-places")
-    one = settle(ranking.places(one, ["qid"], "lex", "id", 0.02).withColumnRenamed("rank", "rl"), "lexical-places")
-    near = two.where((F.col("sem") >= NEAR)).join(one.select("qid", "id"), ["qid", "id"], "left_anti")
-    behind = _behind(docs, hits, sizes, one, near.select("qid", "id"))
-    pairs = one.unionByName(behind).join(two, ["qid", "id"], "left").join(sizes, "qid").join(hits.withColumn("hit", F.lit(True)), ["qid", "id"], "left")
-    has = two.select("qid").distinct().withColumn("dense", F.lit(True))
-    pairs = pairs.join(has, "qid", "left").join(q.select("qid", "said"), "qid").join(docs.drop("ts", "embedding"), "id")
+    hits = settle(cited(docs, q), "cited")
+    sized = docs.select("id", F.size(T.tokens(F.concat_ws(" ", "title", "citation", "body"))).alias("dl")).join(hits.select("id").distinct(), "id", "left_semi")
+    sizes = hits.join(sized, "id").groupBy("qid").agg(F.count("*").alias("pool"), F.avg("dl").alias("avgdl")).withColumn("restricted", F.lit(True))
+    asking = q.join(hits.select("qid").distinct(), "qid", "left_semi")
+    open_ = settle(q.join(hits.select("qid").distinct(), "qid", "left_anti"), "open-questions")
+    named = settle(naming(docs, q), "naming")
+    pairs = _open_pairs(docs, open_, index, named).withColumn("hit", F.lit(False)).unionByName(_cited_pairs(docs, asking, hits, sizes).withColumn("hit", F.lit(True)))
+    pairs = pairs.join(named.withColumn("exact", F.lit(True)), ["qid", "id"], "left").join(sizes.select("qid", "pool"), "qid", "left").withColumn("pool", F.coalesce("pool", F.lit(index.docs)))
+    # a question is dense if any document of its pool has a vector beside its own
+    dense = pairs.where("sem IS NOT NULL").select("qid").distinct().withColumn("dense", F.lit(True))
+    pairs = pairs.join(dense, "qid", "left")
     both = 0.58 / (ranking.RRF_K + F.col("rl")) + 0.42 / (ranking.RRF_K + F.coalesce("rs", F.col("pool") + 1))
     score = F.least(F.lit(100.0), 6100 * F.when(F.col("dense"), both).otherwise(1.0 / (ranking.RRF_K + F.col("rl")))) * (0.45 + 0.55 * F.col("lex"))
     score = score * F.when(F.col("sem").isNull(), 1.0).otherwise(0.72 + 0.28 * F.greatest(F.lit(0.0), F.col("sem")))
-    exact = F.contains("name", "said") | F.contains("said", "name")
-    score = F.when(F.col("hit"), F.least(F.lit(100.0), score + 72)).when(exact, F.least(F.lit(100.0), score + 18)).otherwise(score)
-    rows = pairs.withColumn("hit", F.coalesce("hit", F.lit(False))).withColumn("score", F.round(score, 6)).where((F.col("score") >= LEAST) & ((F.col("lex") > 0) | (F.col("sem") >= NEAR)))
+    score = F.when(F.col("hit"), F.least(F.lit(100.0), score + 72)).when(F.col("exact"), F.least(F.lit(100.0), score + 18)).otherwise(score)
+    rows = pairs.withColumn("score", F.round(score, 6)).where((F.col("score") >= LEAST) & ((F.col("lex") > 0) | (F.col("sem") >= NEAR)))
+    rows = rows.join(docs.drop("embedding", "title", "citation", "body"), "id")
     w = Window.partitionBy("qid", "record").orderBy(F.desc("score"), "id")
-    return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", "name", "said")
-
-
-def _behind(docs: DataFrame, hits: DataFrame, sizes: DataFrame, one: DataFrame, near: DataFrame) -> DataFrame:
-    """qid, id, lex (0), rl of the near pairs that share no term. Such a document's place is the number of
-    matching ones, and of the others with a smaller id: its place among all of the pool by id, and of the
-    matching ones those with a larger id."""
-    ids = settle(ranking.places(docs.select(F.lit(0).alias("k"), "id", (-F.col("id")).alias("by")), ["k"], "by", "id", 4096.0).select("id", F.col("rank").alias("by_id")), "places-by-id")
-    some = hits.withColumn("by_id", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
-    place = near.join(sizes.select("qid", "restricted"), "qid").join(ids, "id").join(some.select("qid", "id", F.col("by_id").alias("in_pool")), ["qid", "id"], "left")
-    place = place.select("qid", "id", F.when(F.col("restricted"), F.col("in_pool")).otherwise(F.col("by_id")).alias("at"), F.lit(True).alias("asked"))
-    rows = place.unionByName(one.select("qid", "id", F.lit(None).cast("int").alias("at"), F.lit(False).alias("asked")))
-    w = Window.partitionBy("qid").orderBy("id")
-    after = F.count_if(~F.col("asked")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn("after", after).where("asked").select("qid", "id", F.lit(0.0).alias("lex"), (F.col("at") + F.col("after")).alias("rl"))
+    return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", "name", "exact", "dense", "pool", "rl", "rs")
 
 
 def best(rows: DataFrame, k: int) -> DataFrame:

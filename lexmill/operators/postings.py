@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,12 @@ def build(docs: DataFrame, path: str) -> Index:
 
 def index_of(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Index:
     """The session's index of the documents table; built anew where the table's files are others."""
-    key = (spark.sparkContext.applicationId, sf_dir, *fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    return kept_index(spark, sf_dir, "documents", docs)
+
+
+def kept_index(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame) -> Index:
+    """The session's index of that name over documents (id, body) made from the documents table."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *fingerprint(spark, f"{sf_dir}/documents.parquet"))
     if key not in _built:
         _built[key] = build(docs, scratch(spark, "index"))
     return _built[key]
@@ -76,18 +82,7 @@ def _scored(index: Index, weighed: DataFrame, asked: DataFrame, k: int | None, b
     right = asked.select("qid", F.col("t").alias("term"), "u", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))).alias("part"))
 
     def score(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        ids, doc = np.unique(rows.column("id").to_numpy(), return_inverse=True)
-        qids, ask = np.unique(asks.column("qid").to_numpy(), return_inverse=True)
-        total, matched = np.zeros((len(qids), len(ids))), np.zeros((len(qids), len(ids)), np.int64)
-        t, w, s, u = (x.to_numpy() for x in (rows.column("t"), rows.column("w"), asks.column("term"), asks.column("u")))
-        by_row, by_ask = np.argsort(t, kind="stable"), np.argsort(s, kind="stable")
-        t, s = t[by_row], s[by_ask]
-        for token in np.intersect1d(t, s):
-            a = by_row[slice(*np.searchsorted(t, [token, token + 1]))]
-            b = by_ask[slice(*np.searchsorted(s, [token, token + 1]))]
-            at = np.ix_(ask[b], doc[a])
-            total[at] += u[b][:, None] * w[a]
-            matched[at] += 1
+        ids, qids, total, matched = _matrix(rows, asks)
         if k is None:
             i, j = np.nonzero(matched)
             return pa.table({"qid": qids[i], "id": ids[j], "score": total[i, j], "matched": matched[i, j]})
@@ -103,6 +98,77 @@ def _scored(index: Index, weighed: DataFrame, asked: DataFrame, k: int | None, b
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(score, "qid long, id long, score double, matched long")
 
 
+def _matrix(rows: pa.Table, asks: pa.Table) -> tuple[np.ndarray, ...]:
+    """ids, qids, and for each question and document the sum of w * u and the number of shared terms."""
+    ids, doc = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+    qids, ask = np.unique(asks.column("qid").to_numpy(), return_inverse=True)
+    total, matched = np.zeros((len(qids), len(ids))), np.zeros((len(qids), len(ids)), np.int64)
+    t, w, s, u = (x.to_numpy() for x in (rows.column("t"), rows.column("w"), asks.column("term"), asks.column("u")))
+    by_row, by_ask = np.argsort(t, kind="stable"), np.argsort(s, kind="stable")
+    t, s = t[by_row], s[by_ask]
+    for token in np.intersect1d(t, s):
+        a = by_row[slice(*np.searchsorted(t, [token, token + 1]))]
+        b = by_ask[slice(*np.searchsorted(s, [token, token + 1]))]
+        at = np.ix_(ask[b], doc[a])
+        total[at] += u[b][:, None] * w[a]
+        matched[at] += 1
+    return ids, qids, total, matched
+
+
+def lexical_share(bm25, matched, n):
+    """Between 0 and 1: a capped share of the score, and how many of the question's n terms are matched."""
+    return np.round(np.minimum(1.0, bm25 / np.maximum(2.0, 1.7 * n)) * 0.7 + 0.3 * matched / n, 9)
+
+
+def graded(index: Index, weighed: DataFrame, asked: DataFrame, probes: DataFrame, k: int | None) -> DataFrame:
+    """Two uses of a part's scores by lexical share, for asked (qid, t, u, n: terms of the question).
+
+    With k: qid, id, lex, found of each part's k best, and of the probes (qid, id), which go to their own part.
+    Without: qid, id, ahead for probes (qid, id, lex), which go to all parts: how many documents of the part
+    stand before it; for a probe that shares nothing, how many sharing ones have a larger id."""
+    blocks = max(1, -(-asked.select("qid").distinct().count() // QUESTIONS_A_BLOCK))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
+    left = weighed.select("part", "id", "t", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))).alias("to_part")
+    no = lambda kind: F.lit(None).cast(kind)
+    terms = asked.select("qid", F.col("t").alias("term"), "u", F.col("n").cast("double").alias("n"), no("bigint").alias("id"), no("double").alias("lex"), block.alias("to_block"), every)
+    own = F.pmod(F.xxhash64("id"), F.lit(index.parts)).cast("int").alias("to_part")
+    lex = no("double").alias("lex") if k else F.col("lex")
+    named = probes.select("qid", no("bigint").alias("term"), no("double").alias("u"), no("double").alias("n"), "id", lex, block.alias("to_block"), own if k else every)
+
+    def score(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        is_probe = pc.is_valid(asks.column("id"))
+        probe, asks = asks.filter(is_probe), asks.filter(pc.invert(is_probe))
+        ids, qids, total, matched = _matrix(rows, asks)
+        n = dict(zip(asks.column("qid").to_pylist(), asks.column("n").to_pylist()))
+        of = {}
+        for q, i, v in zip(probe.column("qid").to_pylist(), probe.column("id").to_pylist(), probe.column("lex").to_pylist()):
+            of.setdefault(q, []).append((i, v))
+        out = []
+        for j, q in enumerate(qids.tolist()):
+            there = np.flatnonzero(matched[j])
+            value, mine = lexical_share(total[j, there], matched[j, there], n[q]), ids[there]
+            if k:
+                first = np.lexsort((mine, -value))[:k]
+                asked_too = np.flatnonzero(np.isin(mine, [i for i, _ in of.get(q, ())]))
+                chosen = np.union1d(first, asked_too)
+                out.append((np.full(len(chosen), q), mine[chosen], value[chosen]))
+            elif q in of:
+                i, v = np.array([x for x, _ in of[q]], np.int64), np.array([x for _, x in of[q]])
+                order = np.lexsort((mine, -value))
+                # places in the part by value, then id; equal values are told apart by their ids
+                lo, hi = (np.searchsorted(-value[order], -v, side=s) for s in ("left", "right"))
+                ahead = lo + np.array([np.searchsorted(mine[order][a:b], x) for a, b, x in zip(lo, hi, i)], np.int64)
+                larger = len(mine) - np.searchsorted(np.sort(mine), i, side="right")
+                out.append((np.full(len(i), q), i, np.where(v > 0, ahead, larger)))
+        kinds = (np.int64, np.int64, np.float64 if k else np.int64)
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in kinds]
+        return pa.table(dict(zip(("qid", "id", "lex" if k else "ahead"), cols)))
+
+    out = f"qid long, id long, {'lex double' if k else 'ahead long'}"
+    return left.groupBy("block", "part").cogroup(terms.unionByName(named).groupBy("to_block", "to_part")).applyInArrow(score, out)
+
+
 def best(index: Index, weighed: DataFrame, asked: DataFrame, k: int, by: str) -> DataFrame:
     scored = _scored(index, weighed, asked, k, by)
     return ranking.top(scored.withColumn("_by", F.round("score", 6) if by == "score" else F.col(by)), "_by", k).drop("_by")
@@ -121,7 +187,7 @@ def _numbered(spark: SparkSession, index: Index, questions: DataFrame) -> tuple[
     return each.join(terms.select("token", "t"), "token").select("qid", "t", "q"), terms
 
 
-def _bm25(spark: SparkSession, index: Index, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bm25_weights(spark: SparkSession, index: Index, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked, terms = _numbered(spark, index, questions)
     idf = F.log(1 + (index.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (ranking.K1 + 1) / (F.col("tf") + ranking.K1 * (1 - ranking.B + ranking.B * F.col("dl") / index.mean_length))
@@ -131,12 +197,12 @@ def _bm25(spark: SparkSession, index: Index, questions: DataFrame) -> tuple[Data
 
 def bm25_top(spark: SparkSession, index: Index, questions: DataFrame, k: int, by: str = "score") -> DataFrame:
     """qid, id, bm25, matched, rank of questions (qid, body); by score or by the number of matched terms."""
-    return best(index, *_bm25(spark, index, questions), k, by).withColumnRenamed("score", "bm25")
+    return best(index, *bm25_weights(spark, index, questions), k, by).withColumnRenamed("score", "bm25")
 
 
 def bm25_all(spark: SparkSession, index: Index, questions: DataFrame) -> DataFrame:
     """qid, id, bm25, matched of every pair that shares a term: for orders that need complete lists."""
-    return _scored(index, *_bm25(spark, index, questions), None, "score").withColumnRenamed("score", "bm25")
+    return _scored(index, *bm25_weights(spark, index, questions), None, "score").withColumnRenamed("score", "bm25")
 
 
 def cosine_top(spark: SparkSession, index: Index, questions: DataFrame, k: int, logarithmic: bool = False) -> DataFrame:

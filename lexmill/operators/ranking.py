@@ -114,6 +114,52 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256,
     return top(_dense(vectors, queries, k, block, rows_a_part).withColumn("cosine", F.round("cosine", 9)), "cosine", k)
 
 
+def dense_places(vectors: DataFrame, queries: DataFrame, probes: DataFrame, block: int = 256, rows_a_part: int = 20_000) -> DataFrame:
+    """qid, id, ahead for probes (qid, id, cosine): how many of all vectors (id, v) stand before it by cosine, then
+    id. Each part counts its own rows; pairs are not shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    q, vectors = queries.where("v is not null"), vectors.where("v is not null")
+    blocks, n = max(1, -(-q.count() // block)), max(8, -(-vectors.count() // rows_a_part))
+    turn = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("to_block")
+    sent = vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("to_part")
+    no = lambda kind: F.lit(None).cast(kind)
+    asked = q.select("qid", F.col("v").cast("array<double>").alias("qv"), no("bigint").alias("probe"), no("double").alias("cosine"), turn, every)
+    named = probes.select("qid", no("array<double>").alias("qv"), F.col("id").alias("probe"), "cosine", turn, every)
+
+    def matrix(column) -> np.ndarray:
+        m = np.array(column.to_pylist(), float)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm > 0, norm, np.nan)
+
+    def count(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        out, of = [], {}
+        for qid, i, c in zip(*(asks.column(x).to_pylist() for x in ("qid", "probe", "cosine"))):
+            if i is not None:
+                of.setdefault(qid, []).append((i, c))
+        is_vector = np.array([i is None for i in asks.column("probe").to_pylist()], bool)
+        if rows.num_rows and of:
+            ids, unit = rows.column("id").to_numpy(), matrix(rows.column("v"))
+            asks = asks.filter(pa.array(is_vector))
+            for qid, v in zip(asks.column("qid").to_pylist(), matrix(asks.column("qv")) if asks.num_rows else ()):
+                if qid in of:
+                    sims = np.round(unit @ v, 9)
+                    there = ~np.isnan(sims)
+                    order = np.lexsort((ids[there], -sims[there]))
+                    mine, value = ids[there][order], -sims[there][order]
+                    i, c = np.array([x for x, _ in of[qid]], np.int64), -np.array([x for _, x in of[qid]])
+                    lo, hi = (np.searchsorted(value, c, side=s) for s in ("left", "right"))
+                    ahead = lo + np.array([np.searchsorted(mine[a:b], x) for a, b, x in zip(lo, hi, i)], np.int64)
+                    out.append((np.full(len(i), qid), i, ahead))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("qid", "id", "ahead"), cols)))
+
+    counts = sent.groupBy("block", "part").cogroup(asked.unionByName(named).groupBy("to_block", "to_part")).applyInArrow(count, "qid long, id long, ahead long")
+    return counts.groupBy("qid", "id").agg(F.sum("ahead").alias("ahead"))
+
+
 def dense_all(vectors: DataFrame, queries: DataFrame, block: int = 256, rows_a_part: int = 2_000) -> DataFrame:
     """qid, id, cosine of a stated query set against all vectors, in blocks."""
     return _dense(vectors, queries, None, block, rows_a_part)

@@ -65,9 +65,14 @@ f AS (SELECT *, round(CASE WHEN hit THEN least(100, base + 72) WHEN near THEN le
 k AS (SELECT f.*, record, lang, source, n_chars, row_number() OVER (PARTITION BY qid, record ORDER BY score DESC, f.id) AS place FROM f JOIN c USING (id) WHERE score >= 8), relevant AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM k WHERE place = 1)"""
 
 
+def _search(spark, d):
+    docs = corpus(spark, d)
+    return hybrid.search(docs, questions(spark, d), "src1", hybrid.corpus_index(spark, d, docs, "src1"))
+
+
 @query("r01_hybrid_search", f"WITH {_SEARCH} SELECT qid, id, score, round(lex, 4) AS lexical, round(sem, 4) AS semantic, hit AS cited, rank FROM relevant WHERE rank <= 10")
 def r01_hybrid(spark, d):
-    s = hybrid.search(corpus(spark, d), questions(spark, d), "src1")
+    s = _search(spark, d)
     top = hybrid.best(s, 10)
     return top.select("qid", "id", "score", F.round("lex", 4).alias("lexical"), F.round("sem", 4).alias("semantic"), F.col("hit").alias("cited"), F.col("rank").cast("long"))
 
@@ -84,6 +89,6 @@ SELECT qid, facet, value, count(*) AS n FROM x GROUP BY ALL""")
 def a12_relevant(spark, d):
     """Facets over every relevant hit of a question, before any limit or facet filter."""
     band = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 5000, "middle").otherwise("long")
-    rows = hybrid.search(corpus(spark, d), questions(spark, d), "src1")
+    rows = _search(spark, d)
     each = [F.struct(F.lit(n).alias("facet"), F.coalesce(c, F.lit("unknown")).alias("value")) for n, c in (("lang", F.col("lang")), ("source", F.col("source")), ("band", band))]
     return rows.select("qid", F.inline(F.array(*each))).groupBy("qid", "facet", "value").agg(F.count("*").alias("n"))
