@@ -30,6 +30,11 @@ def _index(spark, d):
     return postings.index_of(spark, d, _inputs(spark, d)[0])
 
 
+def build_index(spark, d):
+    """Builds the stored index of the documents unless the session has it."""
+    _index(spark, d)
+
+
 def _ranked(spark, d, k, by="score"):
     """qid, id, bm25, matched, rank from the stored index."""
     return postings.bm25_top(spark, _index(spark, d), _inputs(spark, d)[1], k, by)
