@@ -318,13 +318,10 @@ def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The documents, all rows and columns, without those bytes; n_chars follows where it is present.
     A character of which only some bytes would go stays whole. A null text stays null."""
     names, schema = docs.columns, docs.schema
-    rest = [c for c in names if c not in ("doc_id", "text")]
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.col("text").isNull().alias("text is null"), *rest,
-    )
+    # what is not text travels in one column, so that no name can clash and no type changes
+    row = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("null"), row.alias("row"))
     left, answers, shards = _answered(rows, length, hot)
-    sized = "n_chars" in names
 
     def finish(one: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = one.to_pylist()
@@ -334,16 +331,15 @@ def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             lead = np.flatnonzero((raw & 0xC0) != 0x80)
             gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(lead, append=len(raw)))
         ends, text = np.cumsum(sizes), []
-        for a, b, null in zip((ends - sizes).tolist(), ends.tolist(), rest.column("text is null").to_pylist()):
+        for a, b, null in zip((ends - sizes).tolist(), ends.tolist(), rest.column("null").to_pylist()):
             text.append(None if null else raw[a:b][~gone[a:b]].tobytes().decode())
-        out = rest.drop_columns("text is null").append_column("text", pa.array(text, pa.string()))
-        if sized:
-            at = out.column_names.index("n_chars")
-            out = out.set_column(at, "n_chars", pa.array([None if t is None else len(t) for t in text], out.schema.field(at).type))
-        return out.select(names)
-
-    kinds = ", ".join(f"`{f.name}` {'bigint' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in schema)
-    return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, kinds)
+        others = rest.column("row").combine_chunks()
+        out = {c: others.field(c) for c in names if c != "text"} | {"text": pa.array(text, pa.string())}
+        if "n_chars" in out:
+            out["n_chars"] = pa.array([None if t is None else len(t) for t in text]).cast(out["n_chars"].type)
+        return pa.table([out[c] for c in names], names=names)
+
+    return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
