@@ -16,16 +16,24 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """seed, node, depth: nodes within `hops` undirected edges, breadth first. Visited pairs are
-    removed after every hop, so a hop joins its frontier only."""
-    near = both_ways(edges).select("src", "dst").distinct()
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
-    front = seen
+    """seed, node, depth: nodes within `hops` undirected edges, breadth first for all seeds at once. Seeds are
+    numbered in their order and 64 of them share a row: a bit for each says who has reached the node. A hop joins
+    its frontier only; bits that were set before are taken away, so pairs appear one by one in the result alone."""
+    near = settle(both_ways(edges).select("src", "dst").distinct(), "edges")
+    named = settle(seeds.select("node").distinct().repartitionByRange("node").withColumn("no", F.monotonically_increasing_id()), "seeds")
+    named = named.select("node", F.shiftright("no", 6).alias("word"), F.expr("shiftleft(1L, int(no % 64))").alias("bit"))
+    front = named.select("node", "word", F.col("bit").alias("mask"), F.lit(0).alias("depth"))
+    seen, none = front, F.lit(0).cast("long")
     for hop in range(1, hops + 1):
-        step = front.join(near, front["node"] == near["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        front = settle(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop)), "front")
+        step = front.join(near, front["node"] == near["src"]).select(F.col("dst").alias("node"), "word", F.col("mask").alias("got"), none.alias("had"))
+        both = step.unionByName(seen.select("node", "word", none.alias("got"), F.col("mask").alias("had")))
+        new = both.groupBy("node", "word").agg(F.bit_or("got").alias("got"), F.bit_or("had").alias("had"))
+        new = new.select("node", "word", F.col("got").bitwiseAND(F.bitwise_not("had")).alias("mask"), F.lit(hop).alias("depth"))
+        front = settle(new.where("mask <> 0"), "front")
         seen = seen.unionByName(front)
-    return seen
+    words = named.groupBy("word").agg(F.collect_list(F.struct("bit", F.col("node").alias("seed"))).alias("seeds"))
+    have = F.filter("seeds", lambda x: F.col("mask").bitwiseAND(x["bit"]) != 0)
+    return seen.join(words, "word").select(F.explode(have).alias("one"), "node", "depth").select("one.seed", "node", "depth")
 
 
 def chain_ends(links: DataFrame) -> DataFrame:

@@ -61,6 +61,35 @@ def test_reach_stops_and_survives_cycles(spark):
     assert got == {1: 0, 2: 1, 3: 1, 4: 2}
 
 
+def test_reach_of_many_seeds_keeps_a_row_for_64_of_them(spark, monkeypatch):
+    held, settle = [], graphs.settle
+
+    def counted(df, what):
+        out = settle(df, what)
+        held.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(graphs, "settle", counted)
+    links = [(i, 1000 + j) for i in range(100) for j in range(i % 3, 30, 3)]
+    edges, seeds = spark.createDataFrame(links, "src int, dst int"), spark.createDataFrame([(i,) for i in range(100)] * 2, "node int")
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for s in range(100):
+        seen = front = {s}
+        want.add((s, s, 0))
+        for hop in (1, 2, 3):
+            front = {y for x in front for y in near[x]} - seen
+            seen = seen | front
+            want |= {(s, x, hop) for x in front}
+    got = [tuple(r) for r in graphs.reach(edges, seeds, 3).collect()]
+    assert len(got) == len(want) and set(got) == want
+    blocks = 100 // 64 + 1 + spark.sparkContext.defaultParallelism  # the last row of each range is not full
+    assert max(n for what, n in held if what == "front") <= 100 * blocks < len(want)
+
+
 def test_chain_ends(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "node int, next int")
     got = {r["node"]: (r["last"], r["steps"]) for r in graphs.chain_ends(links).collect()}
