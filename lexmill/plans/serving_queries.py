@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks, citations, scores, structure
 from ..functions import text as T
-from ..operators import filters, matching, postings
+from ..operators import comparables, filters, matching, postings
 from ..sources import files
 from .base import query, spread, table
 from .retrieval import _BM25, _index, _inputs, _ranked
@@ -96,12 +96,14 @@ def r26(spark, d):
 SELECT suppkey, custkey, score FROM (SELECT *, row_number() OVER (PARTITION BY suppkey ORDER BY score DESC, custkey) AS n FROM s) WHERE n <= 2""")
 def r28(spark, d):
     """Weighted matches within one class, held to 96; the two best (a top-k report)."""
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_custkey").alias("custkey"), "c_acctbal")
-    one = lambda b: b.cast("int")
-    s = 18 + 42 * one(F.col("c_acctbal") > 0) + 18 * one(F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 500) + 22 * F.least(F.lit(1.0), F.abs("c_acctbal") / 10000)
-    rows = table(spark, d, "supplier").join(c, "s_nationkey").select(F.col("s_suppkey").alias("suppkey"), "custkey", F.round(scores.clamp(s, 0.0, 96.0), 4).alias("score"))
-    w = Window.partitionBy("suppkey").orderBy(F.desc("score"), "custkey")
-    return rows.withColumn("n", F.row_number().over(w)).where("n <= 2").drop("n")
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("class"), F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("b"))
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("class"), F.col("s_suppkey").alias("suppkey"), F.col("s_acctbal").alias("a"))
+
+    def score(b, near):
+        s = 18 + 42 * (b > 0).cast("int") + 18 * near.cast("int") + 22 * F.least(F.lit(1.0), F.abs(b) / 10000)
+        return F.when(b.isNull(), 0.0).otherwise(scores.clamp(s, 0.0, 96.0))
+
+    return comparables.nearby_best(rows, c, score, 500, 2)
 
 
 @query("r29_hub_relevance", """SELECT p_partkey, CASE WHEN p_name = 'small bolt' THEN 2000 WHEN p_name LIKE 'small bolt%' THEN 900 WHEN contains(p_name, 'small bolt') THEN 600 ELSE 0 END + 120 * (contains(p_name, 'small')::INT + contains(p_name, 'bolt')::INT)
