@@ -163,14 +163,20 @@ def t10(spark, d):
     return table(spark, d, "events").select("event_id", F.round(spent, 2).alias("spent"), ((spent - F.col("value")) >= 1500).alias("refused"))
 
 
-@query("m02_case_score", """WITH e AS (SELECT user_id, avg(value) AS v, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY 1)
-SELECT user_id, round(least(100, greatest(0, 0.35 * least(100, v) + 0.20 * least(100, 10 * n) + 0.25 * 20 * k + 0.10 * CASE WHEN k = 5 THEN 100 ELSE 40 END + 0.10 * 50)), 1) AS score FROM e""")
+@query("m02_case_score", """WITH e AS (SELECT user_id, sum(TRY_CAST(round(value * 1000000) AS BIGINT)) AS s, count(TRY_CAST(round(value * 1000000) AS BIGINT)) AS c, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY 1),
+p AS (SELECT *, CASE WHEN c > 0 THEN least(100000000 * c, greatest(-1000000000 * c, s)) ELSE 100000000 END AS v, greatest(c, 1) AS m FROM e),
+t AS (SELECT user_id, (7 * v + 7001000000 * m) // (2000000 * m) - 3500 + 2 * least(100, 10 * n) + 50 * k + CASE WHEN k = 5 THEN 100 ELSE 40 END + 50 AS tenths FROM p)
+SELECT user_id, CAST(least(1000, greatest(0, tenths)) AS DOUBLE) / 10 AS score FROM t""")
 def m02(spark, d):
-    """Five weighted parts, held between 0 and 100."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"), F.count("*").alias("n"), F.count_distinct("event_type").alias("k"))
-    hundred = lambda c: F.least(F.lit(100.0), c)
-    s = 0.35 * hundred(F.col("v")) + 0.20 * hundred(10.0 * F.col("n")) + 0.25 * 20 * F.col("k") + 0.10 * F.when(F.col("k") == 5, 100).otherwise(40) + 0.10 * 50
-    return e.select("user_id", F.round(scores.clamp(s, 0.0, 100.0), 1).alias("score"))
+    """Five weighted parts, held between 0 and 100, halves up to one decimal. All is counted in whole millionths
+    and tenths, so no half falls to either side by chance: 0.35 of the mean is 7 / 2,000,000 tenths of the sum of
+    millionths by the count; 3,500 tenths are added so that the division has nothing below zero (a mean under -1,000 gives 0 anyway)."""
+    value = F.round(F.col("value") * 1000000).try_cast("bigint")
+    e = table(spark, d, "events").groupBy("user_id").agg(F.sum(value).alias("s"), F.count(value).alias("c"), F.count("*").alias("n"), F.count_distinct("event_type").alias("k"))
+    held = F.when(F.col("c") > 0, F.least(100000000 * F.col("c"), F.greatest(-1000000000 * F.col("c"), "s"))).otherwise(100000000)
+    e = e.withColumn("v", held).withColumn("m", F.greatest("c", F.lit(1).cast("bigint")))
+    tenths = F.expr("(7 * v + 7001000000 * m) div (2000000 * m)") - 3500 + 2 * F.least(F.lit(100), 10 * F.col("n")) + 50 * F.col("k") + F.when(F.col("k") == 5, 100).otherwise(40) + 50
+    return e.select("user_id", (scores.clamp(tenths, 0, 1000).cast("double") / 10).alias("score"))
 
 
 @query("m03_labels", """WITH s AS (SELECT o_custkey, count(*) AS n, avg(o_totalprice) / 4000 AS score, max(c) / count(*)::DOUBLE AS top FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS c FROM orders) GROUP BY 1)
