@@ -155,12 +155,15 @@ def t09(spark, d):
     return m.withColumn("level", F.when(F.col("shared") >= 2, "critical").otherwise("notice"))
 
 
-@query("t10_budget_guard", """SELECT event_id, round(sum(value) OVER w, 2) AS spent, sum(value) OVER w - value >= 1500 AS refused FROM events WINDOW w AS (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+@query("t10_budget_guard", """WITH e AS (SELECT event_id, user_id, ts, TRY_CAST(value AS DECIMAL(18, 6)) AS v FROM events), s AS (SELECT event_id, v, sum(v) OVER w AS spent FROM e WINDOW w AS (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, CAST(round(spent, 2) AS DOUBLE) AS spent, spent - v >= 1500 AS refused FROM s""")
 def t10(spark, d):
-    """A call is refused once the month's spending before it has reached the limit."""
+    """A call is refused once the month's spending before it has reached the limit. Amounts are added as decimals
+    of six places, so a sum does not depend on the order of its additions."""
     w = Window.partitionBy("user_id", F.date_trunc("month", "ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum("value").over(w)
-    return table(spark, d, "events").select("event_id", F.round(spent, 2).alias("spent"), ((spent - F.col("value")) >= 1500).alias("refused"))
+    e = table(spark, d, "events").withColumn("v", F.col("value").try_cast("decimal(18, 6)"))
+    spent = e.select("event_id", "v", F.sum("v").over(w).alias("spent"))
+    return spent.select("event_id", F.round("spent", 2).cast("double").alias("spent"), ((F.col("spent") - F.col("v")) >= 1500).alias("refused"))
 
 
 @query("m02_case_score", """WITH e AS (SELECT user_id, sum(TRY_CAST(round(value * 1000000) AS BIGINT)) AS s, count(TRY_CAST(round(value * 1000000) AS BIGINT)) AS c, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY 1),

@@ -20,6 +20,15 @@ def rows_of(spark, tmp_path, events, name):
     return by(got)
 
 
+def test_the_limit_is_reached_exactly(spark, tmp_path):
+    # ten times 0.1 is less than 1 in doubles
+    values = [1499.0] + [0.1] * 10 + [5.0]
+    events = [(i, dt.datetime(2024, 1, 1, 0, i), 1, "view", v) for i, v in enumerate(values)]
+    got = rows_of(spark, tmp_path, events, "t10_budget_guard")
+    assert [r[2] for r in got] == [False] * 11 + [True]
+    assert got[10][1] == 1500.0
+
+
 @pytest.mark.parametrize("low", [-5000, 0])
 def test_halves_of_a_score_go_up(spark, tmp_path, low):
     events, want = [], []
