@@ -1,12 +1,14 @@
 """Near copies at a true similarity of their shingles, for the pipeline.
 
-A text's fingerprint has BANDS segments, each the 64-bit hash of the smallest values of ROWS hash
-functions over its shingles of five words, and SKETCH bits: the lowest bit of each smallest value.
-Texts of Jaccard similarity s share a segment with probability 1 - (1 - s ** ROWS) ** BANDS, 0.989 at
-0.8, and each bit of the sketches differs with probability (1 - s) / 2. A SimHash ball cannot do this:
-at 0.8 two 64-bit SimHashes lie about 10 bits apart, and segments that short meet by chance.
-
-Multi-index hashing over these fingerprints: texts that share a segment are fetched by a join on it,
+Candidates come from operator 10's search first: the SimHash of a text's distinct shingles of five words, 64
+bits, and the fingerprints at MAX_BITS or fewer, found by Hamming balls in two segments; those that such links
+join are one bucket. Two SimHashes at a similarity of 0.8 lie about 10 bits apart, so this finds the closest
+copies, and balls that reach 10 bits would meet by chance. The others come from BANDS further segments, each
+the 64-bit hash of the smallest values of ROWS hash functions over the same shingles, with SKETCH bits beside
+them: the lowest bit of each smallest value. Texts of Jaccard similarity s share such a segment with probability
+1 - (1 - s ** ROWS) ** BANDS, 0.989 at 0.8, and each bit of the sketches differs with probability (1 - s) / 2.
+
+Multi-index hashing over these fingerprints: texts that share a bucket or a segment are fetched by a join on it,
 whose condition verifies the complete distance of the sketches (MOST_BITS, which a pair of similarity
 0.8 exceeds once in 1,200) and the numbers of shingles; a pair is taken from the first segment that it
 shares. What is left is linked where the Jaccard similarity of the shingles themselves reaches the limit. Members
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .blocks import give_back, pack_sorted, parts, unpack_sorted
 from .shared import materialize
-from .simhash_mih import components
+from .simhash_mih import components, majority
+from .simhash_mih import links as within
 
-WORDS, SIMILAR = 5, 0.8
+WORDS, SIMILAR, MAX_BITS = 5, 0.8, 3
 BANDS, ROWS = 40, 10
 SKETCH, MOST_BITS = 384, 57
 SHINGLES_A_SHARD = 1_500_000
@@ -99,7 +102,7 @@ def _node():
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, node, row (a hash of the whole row), n (shingles), keys (the segments), sketch."""
+    """doc_id, node, row (a hash of the whole row), n (shingles), fp (the SimHash), keys (the segments), sketch."""
     d = docs.select("doc_id", _node().alias("node"), F.xxhash64(*_columns(docs)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,16 +112,24 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                 if node not in known:
                     s = shingles(x.as_py())
                     low = smallest(s)
-                    known[node] = len(s), segments(low).view(np.int64), sketch(low).view(np.int64)
+                    known[node] = len(s), majority(s), segments(low).view(np.int64), sketch(low).view(np.int64)
             give_back()
-            n, keys, bits = zip(*(known[i] for i in b.column(1).to_pylist())) if b.num_rows else ((), (), ())
+            n, fps, keys, bits = zip(*(known[i] for i in b.column(1).to_pylist())) if b.num_rows else ((), (), (), ())
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(n, pa.int64()), pa.array(keys, longs), pa.array(bits, longs)], names=["doc_id", "node", "row", "n", "keys", "sketch"]
+                [*b.columns[:3], pa.array(n, pa.int64()), fp, pa.array(keys, longs), pa.array(bits, longs)], names=["doc_id", "node", "row", "n", "fp", "keys", "sketch"]
             )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, node bigint, row bigint, n bigint, keys array<bigint>, sketch array<bigint>")
+    return d.mapInArrow(run, f"doc_id {kind}, node bigint, row bigint, n bigint, fp bigint, keys array<bigint>, sketch array<bigint>")
+
+
+def balls(each: DataFrame) -> DataFrame:
+    """fp, ball: the smallest SimHash reachable over links of MAX_BITS or fewer, for those that have a link."""
+    fps = materialize(each.select("fp").distinct(), "fingerprints")
+    found = components(within(fps, MAX_BITS).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.select(F.col("node").alias("fp"), F.col("root").alias("ball"))
 
 
 def _near(a: str, b: str, similar: float):
@@ -186,8 +197,10 @@ def _roots(links: DataFrame) -> DataFrame:
 def roots(each: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """node, root of all nodes that are linked to others."""
     prints = ["n", *[f"s{i}" for i in range(SKETCH // 64)]]
-    nodes = each.groupBy("node").agg(F.first(F.struct("n", "keys", "sketch")).alias("f"))
-    nodes = materialize(nodes.select("node", "f.n", "f.keys", *[F.col("f.sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)]), "nodes")
+    nodes = each.groupBy("node").agg(F.first(F.struct("n", "fp", "keys", "sketch")).alias("f"))
+    nodes = nodes.select("node", "f.*").join(balls(each), "fp", "left")
+    keys = F.array_prepend("keys", F.coalesce("ball", "fp")).alias("keys")  # the bucket of the SimHash, then the segments
+    nodes = materialize(nodes.select("node", "n", keys, *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)]), "nodes")
     keys = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialize(keys.join(shared, "key"), "buckets")

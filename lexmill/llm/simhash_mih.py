@@ -41,7 +41,11 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     if len(w) <= words:
         return h64(b" ".join(w), seed)
     each = [h64(b" ".join(s), seed) for s in zip(*(w[i:] for i in range(words)))]
-    h = np.array(each, dtype="<u8")
+    return majority(np.array(each, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit j is set if it is set in over half of the values."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), _BLOCK):
         part = h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import corpus_pipeline as cp
 from lexmill.llm import shingle_copies
@@ -58,6 +59,31 @@ def test_large_groups_and_their_members(spark):
     assert links.keys() == {i for i, _ in rows} and sorted(set(links.values())) == kept
 
 
+def test_simhash_balls(spark):
+    rng, rows = random.Random(5), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(2000)}" for _ in range(400)]
+        for k in range(3):  # without, with one and with two edits: 0 to some bits apart
+            w = list(base)
+            for p in rng.sample(range(400), k):
+                w[p] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *[None] * 13) for i, t in rows], SCHEMA)
+    each = shingle_copies._fingerprints(docs)
+    fps = {r["doc_id"]: r["fp"] for r in each.collect()}
+    for i, t in rows:
+        s = [int(x) for x in shingle_copies.shingles(t)]
+        assert fps[i] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s) > len(s))
+    root = {f: f for f in fps.values()}
+    for a, b in itertools.combinations(set(root), 2):
+        if ((a ^ b) % (1 << 64)).bit_count() <= 3 and root[a] != root[b]:
+            lo, hi = sorted((root[a], root[b]))
+            root = {f: lo if r == hi else r for f, r in root.items()}
+    sizes = Counter(root.values())
+    got = {r["fp"]: r["ball"] for r in shingle_copies.balls(each).collect()}
+    assert got and got == {f: r for f, r in root.items() if sizes[r] > 1}
+
+
 def test_empty(empty):
     assert shingle_copies.keep_first(empty).collect() == []
 
