@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_A_TASK = 500_000
+
 
 def upsert(base: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """Incoming rows replace those of their key."""
@@ -16,6 +20,14 @@ def insert_ignore(base: DataFrame, incoming: DataFrame, key: list[str]) -> DataF
     return base.unionByName(incoming.join(base.select(*key).distinct(), key, "left_anti"))
 
 
+def merge_batches(batches: list[DataFrame], key: list[str], merged: list[Column]) -> DataFrame:
+    """One row of each key of all batches together. Rows are dealt by their key into parts of ROWS_A_TASK, so that
+    the table of keys that a task holds does not grow with the input."""
+    rows = reduce(DataFrame.unionByName, batches)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    return rows.repartition(parts, *key).groupBy(*key).agg(*merged)
+
+
 def prefer(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row of each key, every field the first non-null in the order."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -285,8 +285,8 @@ def n01(spark, d):
 def n02(spark, d):
     """Two batches merged with MAX of one field and a sum of another."""
     l = table(spark, d, "lineitem")
-    a, b = (l.where(F.col("l_returnflag") == f).groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("c"), F.count("*").alias("k")) for f in "AR")
-    return a.unionByName(b).groupBy("l_suppkey", "l_partkey").agg(F.max("c").alias("confidence"), F.sum("k").alias("n"))
+    batches = [l.where(F.col("l_returnflag") == f).select("l_suppkey", "l_partkey", "l_discount", F.lit(1).alias("k")) for f in "AR"]
+    return merging.merge_batches(batches, ["l_suppkey", "l_partkey"], [F.max("l_discount").alias("confidence"), F.sum("k").alias("n")])
 
 
 @query("n03_insert_ignore", "SELECT c_custkey AS k, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
