@@ -48,10 +48,18 @@ def period_in(text: Column) -> Column:
     return F.when(p["start"].isNotNull() & p["end"].isNotNull(), p)
 
 
+def _once(x: Column, use) -> Column:
+    """use(x), with x computed once however often use names it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def number(text: Column) -> Column:
     """A number in either convention: of two kinds of separators the last one is the decimal mark; a single kind is
     one only before one or two final digits."""
-    t = F.regexp_replace(F.trim(text), "[-,. ]+$", "")
+    return _once(F.regexp_replace(F.trim(text), "[-,. ]+$", ""), _number)
+
+
+def _number(t: Column) -> Column:
     comma, dot = F.length(t) - F.locate(",", F.reverse(t)), F.length(t) - F.locate(".", F.reverse(t))
     both = t.contains(",") & t.contains(".")
     decimal_comma = F.when(both, comma > dot).otherwise(t.rlike(",[0-9]{1,2}$"))
@@ -65,11 +73,14 @@ def rate_rows(text: Column) -> Column:
     """place, code, name, value, per of the rows "1. 13.665,00 Dolar Amerika Serikat (USD) per 1" of a text, in
     order; a code counts once, the first time its value can be read."""
     pattern = r"([0-9]{1,3})\. ([0-9][0-9.,]*) ([^()0-9]+?) \(([A-Za-z]{3})\)(?: per ([0-9][0-9.,]*))?"
-    part = lambda g: F.regexp_extract_all(T.squeeze(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(g))
-    rows = F.arrays_zip(*[part(g).alias(n) for g, n in enumerate(("place", "value", "name", "code", "per"), 1)])
-    rows = F.transform(rows, lambda r: F.struct(
+    names = ("place", "value", "name", "code", "per")
+    cut = lambda t: F.arrays_zip(*[F.regexp_extract_all(t, F.lit(pattern), F.lit(g)).alias(n) for g, n in enumerate(names, 1)])
+    read = lambda rows: F.transform(rows, lambda r: F.struct(
         r["place"].cast("int").alias("place"), F.upper(r["code"]).alias("code"), r["name"].alias("name"), number(r["value"]).alias("value"), F.coalesce(number(r["per"]), F.lit(1.0)).alias("per")
     ))
-    rows = F.filter(rows, lambda r: r["value"].isNotNull())
-    codes = F.transform(rows, lambda r: r["code"])
-    return F.filter(rows, lambda r, i: F.array_position(codes, r["code"]) == i + 1)
+    valued = lambda rows: F.filter(rows, lambda r: r["value"].isNotNull())
+    # the rows and their codes side by side, so that neither is read again for each row
+    coded = lambda rows: F.struct(rows.alias("rows"), F.transform(rows, lambda r: r["code"]).alias("codes"))
+    first = lambda x: F.filter(x["rows"], lambda r, i: F.array_position(x["codes"], r["code"]) == i + 1)
+    rows = _once(T.squeeze(F.coalesce(text, F.lit(""))), lambda t: valued(read(cut(t))))
+    return _once(_once(rows, coded), first)
