@@ -55,7 +55,7 @@ def k08(spark, d):
     }
     path = scratch(spark, "import")
     imports.write_all(split, path)
-    imports.write_all({n: t.repartition(3) for n, t in split.items()}, path)
+    imports.write_all({n: t.repartition(t.columns[0]) for n, t in split.items()}, path)
     return imports.commits(spark, path).select("name", "rows", "version")
 
 
