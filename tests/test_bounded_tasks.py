@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lexmill.functions import gates
-from lexmill.operators import imports, merging
+from lexmill.operators import imports, merging, statutes
 from lexmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,13 @@ def test_merged_batches_take_parts_by_rows(spark, monkeypatch):
 def test_rate_rows_read_a_text_once(spark):
     plan = spark.range(1).select(gates.rate_rows(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 5
+
+
+def test_lines_of_statutes_are_never_rows(spark):
+    rows = spark.createDataFrame([(1, "Pasal 1\nsatu"), (2, "BAB I X\nPasal 1\n(1) b"), (2, "Pasal 2\nc"), (None, None)], "k int, t string")
+    units = statutes.units(rows, "k", "t")
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Window [") == 1
+    # the rows of key 2 are one text, in the order of the texts
+    got = [(r["key"], r["seq"], r["path"], r["text"]) for r in units.orderBy("key", "seq").collect()]
+    assert got == [(1, 1, "Pasal 1", "satu"), (2, 1, "BAB I X > Pasal 1 > ayat (1)", "b"), (2, 2, "BAB I X > Pasal 2", "c")]
