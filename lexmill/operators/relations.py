@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import settle
 from . import merging
 
 # Instrument names and their codes, trigger phrases, relation types.
@@ -90,12 +91,14 @@ def marks_in(text: str) -> Iterator[tuple]:
         if r:
             found.append((m.start(), m.end(), "reference", r))
     found += [(m.start(), m.end(), "scope", (m[0], None, None, None, None)) for m in _SCOPE.finditer(text)]
-    at = 0
+    at, marked = 0, set()
     for start, stop, kind, fields in sorted(found, key=lambda x: x[:2]):
         while start >= stops[at] and at + 1 < len(starts):
             at += 1
         yield at, kind, start, stop, *fields
-    yield from ((i, "sentence", a, b, text[a:b].strip(), None, None, None, None) for i, (a, b) in enumerate(zip(starts, stops)))
+        marked.add(at)
+    # a sentence without any other mark shows nothing
+    yield from ((i, "sentence", starts[i], stops[i], text[starts[i] : stops[i]].strip(), None, None, None, None) for i in sorted(marked))
 
 
 def marks(rows: DataFrame, carried: list[str], text: str) -> DataFrame:
@@ -233,7 +236,7 @@ def extract(statutes: DataFrame, units: DataFrame) -> DataFrame:
     source, target, type and scope, the most confident."""
     n = Window.partitionBy("id")
     rows = units.withColumn("place", F.row_number().over(n.orderBy("seq")) - 1).withColumn("n_units", F.count("*").over(n))
-    found = marks(rows, ["id", "unit_id", "section", "place", "n_units"], "text")
+    found = settle(marks(rows, ["id", "unit_id", "section", "place", "n_units"], "text"), "marks")  # texts are read once for all rules
     edges = from_titles(statutes)
     for rule in (from_closing, from_amended, from_omnibus, from_preamble):
         edges = edges.unionByName(rule(found))

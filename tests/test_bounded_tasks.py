@@ -44,3 +44,15 @@ def test_lines_of_statutes_are_never_rows(spark):
     # the rows of key 2 are one text, in the order of the texts
     got = [(r["key"], r["seq"], r["path"], r["text"]) for r in units.orderBy("key", "seq").collect()]
     assert got == [(1, 1, "Pasal 1", "satu"), (2, 1, "BAB I X > Pasal 1 > ayat (1)", "b"), (2, 2, "BAB I X > Pasal 2", "c")]
+
+
+def test_texts_are_read_once_for_all_relations(spark, monkeypatch):
+    from lexmill.operators import relations
+
+    read, settle = [], relations.settle
+    monkeypatch.setattr(relations, "settle", lambda df, what: read.append(what) or settle(df, what))
+    edges = registry.queries()["x24_relations"](spark, SF)
+    assert read == ["marks"]
+    # of the plan's table functions only that of the titles is left
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [m[1] for m in relations.marks_in("Satu dua. Tiga dicabut. Empat")] == ["repeal", "sentence"]
