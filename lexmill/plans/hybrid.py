@@ -24,15 +24,14 @@ def r03_signals(spark, d):
 
 
 def corpus(spark, d):
-    """Documents as search records: a chunk's citation and title, its record's key, visibility, dates, vector."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    """Documents as search records: a chunk's citation and title, its record's key, visibility, dates."""
     docs = spread(table(spark, d, "documents")).where("coalesce(text, '') <> ''")
     year = (1990 + F.col("doc_id") % 30).cast("string")
     return docs.select(
         F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).alias("record"), F.concat(F.lit("PMK "), F.col("doc_id").cast("string"), F.lit("/"), year).alias("citation"),
         F.left("text", F.lit(40)).alias("title"), F.col("text").alias("body"), F.when(F.col("lang") != "es", "public").otherwise("tenant").alias("visibility"),
         F.col("source").alias("owner"), "lang", "source", "n_chars",
-    ).join(v, "id", "left")
+    )
 
 
 def questions(spark, d):
@@ -66,8 +65,8 @@ k AS (SELECT f.*, record, lang, source, n_chars, row_number() OVER (PARTITION BY
 
 
 def _search(spark, d):
-    docs = corpus(spark, d)
-    return hybrid.search(docs, questions(spark, d), "src1", hybrid.corpus_index(spark, d, docs, "src1"))
+    docs, vectors = corpus(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return hybrid.search(docs, vectors, questions(spark, d), "src1", hybrid.corpus_index(spark, d, docs, "src1"))
 
 
 @query("r01_hybrid_search", f"WITH {_SEARCH} SELECT qid, id, score, round(lex, 4) AS lexical, round(sem, 4) AS semantic, hit AS cited, rank FROM relevant WHERE rank <= 10")
