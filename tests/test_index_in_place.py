@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import postings
+from lexmill.operators import fielded, postings
 from lexmill.plans import retrieval
 from lexmill.sources.files import scratch
 
@@ -59,3 +59,18 @@ def test_repeated_ids_are_brought_together(spark, inputs):
 def test_an_empty_index(spark):
     index = built(spark, spark.createDataFrame([], "id long, body string"))
     assert postings.bm25_top(spark, index, spark.createDataFrame([(9, "beta")], "qid long, body string"), 3).count() == 0
+
+
+def test_fielded_rows_stay_where_they_are(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 4)}gamma{i % 3}", f"beta{i % 2} Älpha" if i % 5 else None) for i in range(40)], "id long, body string, title string")
+    asks = spark.createDataFrame([(1, "beta gamma1 gamma1"), (2, "alpha beta0"), (3, "none")], "qid long, body string")
+    index, weights = fielded.build(pages, ["body", "title"], scratch(spark, "fielded")), {"body": 8.0, "title": 3.0}
+    ranked = lambda: fielded.search(spark, index, asks, weights, 6).select("qid", "id", F.round("score", 6), "matched", "rank")
+    here, plan = sorted(map(tuple, ranked().collect())), plan_of(fielded.search(spark, index, asks, weights, 6))
+    assert index.unique and "MapInArrow" in plan and "CoGroups" not in plan
+    monkeypatch.setattr(postings, "TERMS_A_TASK", 0)
+    assert here == sorted(map(tuple, ranked().collect())) and len(here) == 12
+    # rows of one id are brought together
+    twice = fielded.build(pages.union(pages.where("id = 3")), ["body", "title"], scratch(spark, "fielded"))
+    assert not twice.unique and twice.docs == 41
+    assert {r["id"] for r in fielded.search(spark, twice, asks, weights, 50).where("qid = 2").collect()} == set(range(40))
