@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lexmill.functions import text as T
 from lexmill.operators import hybrid, in_place, postings, ranking
 from lexmill.sources.files import scratch
@@ -77,3 +80,19 @@ def test_names_both_ways(spark):
     q = spark.createDataFrame([(7, "said abc and a long name of a thing"), (8, "long name"), (9, "")], "qid long, said string")
     ways = [sorted(map(tuple, hybrid.naming(docs, q, most).collect())) for most in (1 << 20, 40)]
     assert ways[0] == ways[1] == [(7, 1), (7, 2), (7, 3), (8, 2), (8, 4)]
+
+
+def test_facets_shuffle_neither_texts_nor_postings(spark, monkeypatch):
+    plans = []
+
+    def noted(df, what, settle=hybrid.settle):
+        plans.append((what, df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")))
+        return settle(df, what)
+
+    for module in (hybrid, postings):
+        monkeypatch.setattr(module, "settle", noted)
+    out = __spark_entry__.queries()["a12_facets_of_relevant"](spark, "/root/testdata/sf0.001")
+    noted(out, "facets", lambda df, what: df)
+    # a first shuffle deals the rows of one small file over the cores; cited documents are few
+    sent = [(what, cols) for what, plan in plans for cols, how in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (.*)", plan) if not how.startswith("RoundRobin")]
+    assert sent and not [x for x in sent if x[0] != "cited-pairs" and re.search(r"\b(text|body|ts|tokens|tfs|tf|w)#", x[1])]
