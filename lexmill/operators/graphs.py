@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import settle
+from . import edge_blocks
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -16,16 +17,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """seed, node, depth: nodes within `hops` undirected edges, breadth first for all seeds at once. Seeds are
-    numbered in their order and 64 of them share a row: a bit for each says who has reached the node. A hop joins
-    its frontier only; bits that were set before are taken away, so pairs appear one by one in the result alone."""
-    near = settle(both_ways(edges).select("src", "dst").distinct(), "edges")
-    named = settle(seeds.select("node").distinct().repartitionByRange("node").withColumn("no", F.monotonically_increasing_id()), "seeds")
-    named = named.select("node", F.shiftright("no", 6).alias("word"), F.expr("shiftleft(1L, int(no % 64))").alias("bit"))
+    """seed, node (both long), depth: nodes within `hops` undirected edges, breadth first for all seeds at once. Seeds are
+    numbered in their order and 64 of them share a row: a bit for each says who has reached the node. Edges are packed into blocks
+    once, so a hop shuffles packed blocks and its frontier, no edges; bits that were set before are taken away, so pairs appear
+    one by one in the result alone."""
+    packed = settle(edge_blocks.blocks(edges), "edges")
+    places = settle(edge_blocks.places(packed), "places")
+    named = seeds.select(F.col("node").cast("long")).distinct().repartitionByRange("node").withColumn("no", F.monotonically_increasing_id())
+    named = settle(named, "seeds").select("node", F.shiftright("no", 6).alias("word"), F.expr("shiftleft(1L, int(no % 64))").alias("bit"))
     front = named.select("node", "word", F.col("bit").alias("mask"), F.lit(0).alias("depth"))
     seen, none = front, F.lit(0).cast("long")
     for hop in range(1, hops + 1):
-        step = front.join(near, front["node"] == near["src"]).select(F.col("dst").alias("node"), "word", F.col("mask").alias("got"), none.alias("had"))
+        step = edge_blocks.hop(front, packed, places).withColumn("had", none)
         both = step.unionByName(seen.select("node", "word", none.alias("got"), F.col("mask").alias("had")))
         new = both.groupBy("node", "word").agg(F.bit_or("got").alias("got"), F.bit_or("had").alias("had"))
         new = new.select("node", "word", F.col("got").bitwiseAND(F.bitwise_not("had")).alias("mask"), F.lit(hop).alias("depth"))

@@ -75,7 +75,7 @@ h1 AS (SELECT DISTINCT seed, dst AS node FROM h0 JOIN b ON src = node), h2 AS (S
 SELECT seed, node, min(depth) AS depth FROM (SELECT * FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL""")
 def g04(spark, d):
     """Three hops over all distinct edges from the seeds (a stated query set)."""
-    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).distinct()
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst"))
     seeds = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("node"))
     return graphs.reach(edges, seeds, 3)
 
