@@ -124,8 +124,8 @@ def places(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "node long, block int")
 
 
-def _carried(asked: pa.Table, block: pa.Table) -> pa.Table:
-    """node, word, got: the neighbours within a block and the masks that reach them."""
+def _carried(asked: pa.Table, block: pa.Table, both: np.ufunc = np.bitwise_or) -> pa.Table:
+    """node, word, got: the neighbours within a block and the masks that reach them, put together by `both`."""
     out = []
     if asked.num_rows and block.num_rows:
         src, dst, blind = _edges(block)
@@ -152,17 +152,29 @@ def _carried(asked: pa.Table, block: pa.Table) -> pa.Table:
             order = np.argsort(key)
             key = key[order]
             heads = np.flatnonzero(np.diff(key, prepend=-1))
-            got = np.bitwise_or.reduceat(mask[each[order]], heads)
+            got = both.reduceat(mask[each[order]], heads)
             out.append(pa.table([pa.array(nodes[key[heads] % len(nodes)]), pa.array(words[key[heads] // len(nodes)]), pa.array(got)], schema=_HOP))
         if (sees := np.isin(node, blind)).any():
             words, heads = np.unique(word[sees], return_index=True)
-            got = np.bitwise_or.reduceat(mask[sees], heads)
+            got = both.reduceat(mask[sees], heads)
             out.append(pa.table([pa.nulls(len(words), pa.int64()), pa.array(words), pa.array(got)], schema=_HOP))
     return pa.concat_tables(out) if out else _HOP.empty_table()
 
 
-def hop(front: DataFrame, packed: DataFrame, held: DataFrame) -> DataFrame:
+def hop(front: DataFrame, packed: DataFrame, held: DataFrame, both: np.ufunc = np.bitwise_or) -> DataFrame:
     """node, word, got: where the masks of the frontier (node, word, mask) lead in one hop over packed blocks whose nodes' places are
     held; a node and word can come from several blocks."""
+
+    def carried(asked: pa.Table, block: pa.Table) -> pa.Table:
+        return _carried(asked, block, both)
+
     asked = front.join(held, "node").select("block", "node", "word", "mask")
-    return asked.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_carried, "node long, word long, got long")
+    return asked.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(carried, "node long, word long, got long")
+
+
+def kin(nodes: DataFrame, packed: DataFrame, held: DataFrame) -> DataFrame:
+    """node, least: the least of the nodes that share a neighbour with each."""
+    front = nodes.select("node", F.lit(0).cast("long").alias("word"), F.col("node").alias("mask"))
+    for _ in range(2):
+        front = hop(front, packed, held, np.minimum).groupBy("node", "word").agg(F.min("got").alias("mask"))
+    return nodes.join(front.select("node", F.col("mask").alias("least")), "node", "left")

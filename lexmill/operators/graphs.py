@@ -16,10 +16,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """The rows with `no`, from 0 without gaps in the order of the key however many parts hold them: a part's numbers begin behind the
+def numbered(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows with `no`, from 0 without gaps in the order of the keys however many parts hold them: a part's numbers begin behind the
     counts of the parts before it."""
-    each = settle(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("no", F.monotonically_increasing_id()), "numbered")
+    each = settle(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("no", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("no", 33).alias("part")
     counts = each.groupBy(part).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -29,12 +29,14 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """seed, node (both long), depth: nodes within `hops` undirected edges, breadth first for all seeds at once. Seeds are
-    numbered in their order and 64 of them share a row: a bit for each says who has reached the node. Edges are packed into blocks
-    once, so a hop shuffles packed blocks and its frontier, no edges; bits that were set before are taken away, so pairs appear
-    one by one in the result alone."""
+    numbered and 64 of them share a row: a bit for each says who has reached the node. Seeds with a neighbour in common
+    stand together, whatever their ids, since they reach the same nodes. Edges are packed into blocks once, so a hop
+    shuffles packed blocks and its frontier, no edges; bits that were set before are taken away, so pairs appear one by
+    one in the result alone."""
     packed = settle(edge_blocks.blocks(edges), "edges")
     places = settle(edge_blocks.places(packed), "places")
-    named = settle(numbered(seeds.select(F.col("node").cast("long")).distinct(), "node"), "seeds")
+    own = seeds.select(F.col("node").cast("long")).distinct()
+    named = settle(numbered(edge_blocks.kin(own, packed, places), "least", "node"), "seeds")
     named = named.select("node", F.shiftright("no", 6).alias("word"), F.expr("shiftleft(1L, int(no % 64))").alias("bit"))
     front = named.select("node", "word", F.col("bit").alias("mask"), F.lit(0).alias("depth"))
     seen, none = front, F.lit(0).cast("long")

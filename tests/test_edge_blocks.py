@@ -98,6 +98,30 @@ def test_numbers_have_no_gaps(spark):
     assert rows.columns == ["k", "no"]
 
 
+def test_seeds_that_reach_the_same_share_words(spark, monkeypatch):
+    held, settle = [], graphs.settle
+
+    def counted(df, what):
+        out = settle(df, what)
+        held.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(graphs, "settle", counted)
+    monkeypatch.setattr(edge_blocks, "EDGES_A_BLOCK", 500)
+    # 8 components, a seed's number says nothing about its component; ids are scattered
+    edges = [((37 * (8 * i + c)) % 512, 1000 + (91 * (8 * j + c)) % 320) for c in range(8) for i in range(64) for j in range(40)]
+    of = {(37 * k) % 512: k % 8 for k in range(512)}
+    packed = settle(edge_blocks.blocks(spark.createDataFrame(edges, "src long, dst long")), "edges")
+    kin = edge_blocks.kin(spark.createDataFrame([(n,) for n in [*of, 9999]], "node long"), packed, settle(edge_blocks.places(packed), "places"))
+    least = {r["node"]: r["least"] for r in kin.collect()}
+    assert least.pop(9999) is None and least == {n: min(m for m in of if of[m] == c) for n, c in of.items()}
+    got = [tuple(r) for r in graphs.reach(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(n,) for n in of], "node long"), 3).collect()]
+    want = reached(edges, of, 3)
+    assert len(got) == len(want) and set(got) == want
+    # a word for each component: hop 1 reaches 320 nodes, hop 2 gets back to the 512
+    assert [n for what, n in held if what == "front"] == [320, 512, 0]
+
+
 def test_empty_and_unfit_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     seeds = spark.createDataFrame([(4,), (None,)], "node int")
