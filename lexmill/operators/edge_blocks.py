@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 EDGES_A_BLOCK = 1_000_000
 LINKS_AT_ONCE = 2_000_000
@@ -104,7 +105,7 @@ def _merged(rows: pa.Table) -> pa.Table:
 def blocks(edges: DataFrame) -> DataFrame:
     """One row for each block of the edges (src, dst)."""
     for c in ("src", "dst"):
-        if edges.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        if not isinstance(edges.schema[c].dataType, IntegralType):
             raise TypeError(f"{c} must be an integer, not {edges.schema[c].dataType.simpleString()}")
     rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
     n = -(-rows.count() // EDGES_A_BLOCK)

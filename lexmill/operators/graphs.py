@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..sources.files import settle
 from . import edge_blocks
@@ -28,11 +29,14 @@ def numbered(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """seed, node (both long), depth: nodes within `hops` undirected edges, breadth first for all seeds at once. Seeds are
+    """seed, node (both long for integers), depth: nodes within `hops` undirected edges, breadth first for all seeds at once. Seeds are
     numbered and 64 of them share a row: a bit for each says who has reached the node. Seeds with a neighbour in common
     stand together, whatever their ids, since they reach the same nodes. Edges are packed into blocks once, so a hop
     shuffles packed blocks and its frontier, no edges; bits that were set before are taken away, so pairs appear one by
-    one in the result alone."""
+    one in the result alone. Ids of other types are numbered first."""
+    kinds = [edges.schema["src"].dataType, edges.schema["dst"].dataType, seeds.schema["node"].dataType]
+    if not all(isinstance(k, IntegralType) for k in kinds):
+        return _reach_by_number(edges.select("src", "dst"), seeds.select("node"), hops)
     packed = settle(edge_blocks.blocks(edges), "edges")
     places = settle(edge_blocks.places(packed), "places")
     own = seeds.select(F.col("node").cast("long")).distinct()
@@ -52,6 +56,19 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen.join(words, "word").select(F.explode(have).alias("one"), "node", "depth").select("one.seed", "node", "depth")
 
 
+def _reach_by_number(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """reach for ids that are no integers: each gets a number and is named again in the result; a null stays one."""
+    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).union(seeds).where("name is not null").distinct()
+    names = settle(numbered(names, "name"), "names")
+
+    def swapped(rows: DataFrame, c: str, old: str, new: str) -> DataFrame:
+        return rows.join(names.select(F.col(old).alias(c), F.col(new).alias("swapped")), c, "left").drop(c).withColumnRenamed("swapped", c)
+
+    edges = swapped(swapped(edges, "src", "name", "no"), "dst", "name", "no")
+    out = reach(edges, swapped(seeds, "node", "name", "no"), hops)
+    return swapped(swapped(out, "seed", "no", "name"), "node", "no", "name").select("seed", "node", "depth")
+
+
 def chain_ends(links: DataFrame) -> DataFrame:
     """node, last, steps: where following one outgoing link for each node leads, by pointer
     doubling: a chain of n links takes log2(n) joins. Chains must end; nodes on or before a cycle

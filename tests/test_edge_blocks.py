@@ -122,6 +122,13 @@ def test_seeds_that_reach_the_same_share_words(spark, monkeypatch):
     assert [n for what, n in held if what == "front"] == [320, 512, 0]
 
 
+def test_reach_of_names(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", None), (None, "a"), ("y", "y"), ("", "x")]
+    seeds = ["a", "y", "none", ""]
+    got = graphs.reach(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(s,) for s in [*seeds, None]], "node string"), 2)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(reached(edges, seeds, 2) | {(None, None, 0)}, key=str)
+
+
 def test_empty_and_unfit_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     seeds = spark.createDataFrame([(4,), (None,)], "node int")
